@@ -98,8 +98,8 @@ def test_quotas(sizes: DataFrame, rows: int, test_rows: int) -> DataFrame:
     )
     given = parts.agg(F.coalesce(F.sum("base"), F.lit(0)).alias("b")).first()["b"]
     lucky = parts.orderBy(F.desc("left_over"), F.asc_nulls_last("class")).limit(max(0, test_rows - given))
-    bonus = lucky.select("class", F.lit(1).alias("bonus"))
-    joined = parts.join(bonus, parts["class"].eqNullSafe(bonus["class"]), "left").drop(bonus["class"])
+    bonus = lucky.select(F.col("class").alias("lucky_class"), F.lit(1).alias("bonus"))
+    joined = parts.join(bonus, F.col("class").eqNullSafe(F.col("lucky_class")), "left")
     return joined.select("class", "cnt", (F.col("base") + F.coalesce("bonus", F.lit(0))).alias("quota"))
 
 

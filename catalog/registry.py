@@ -71,8 +71,32 @@ VIEWS = {
                150000 + 20000 * CAST(substr(o_orderpriority, 1, 1) AS INT) + 1000 * length(o_orderstatus) AS forecast_price
         FROM {orders}
     """,
+    # One audit per customer, summed up from the customer's orders.
+    "customer_audits": """
+        SELECT concat('c', CAST(o_custkey AS STRING)) AS audit_id, 'o_orderstatus' AS target_column,
+               CASE WHEN count(DISTINCT o_orderstatus) = 2 THEN 'binary_classification'
+                    WHEN count(DISTINCT o_orderstatus) > 2 THEN 'multiclass_classification' ELSE 'regression' END AS problem_type,
+               count(*) < 8 AS problem_needs_review, 'Few orders.' AS problem_reason,
+               round(CAST(100 AS DOUBLE) - min(o_totalprice) * 200 / max(o_totalprice), 2) AS quality_score,
+               CASE WHEN max(o_totalprice) > 490000 THEN 'critical' WHEN max(o_totalprice) > 480000 THEN 'high'
+                    WHEN max(o_totalprice) > 460000 THEN 'medium' WHEN max(o_totalprice) > 430000 THEN 'low' ELSE 'none' END AS leakage_severity,
+               CAST(CASE WHEN max(o_totalprice) > 430000 THEN count(*) ELSE 0 END AS BIGINT) AS leakage_count,
+               CASE WHEN max(o_orderpriority) = min(o_orderpriority) THEN 'severe' WHEN count(*) > 14 THEN 'high'
+                    WHEN count(*) > 12 THEN 'moderate' ELSE 'low' END AS imbalance_severity,
+               CAST(CASE WHEN count(*) > 13 THEN 4 WHEN count(*) > 11 THEN 1 ELSE 0 END AS BIGINT) AS optional_failures
+        FROM {orders} GROUP BY o_custkey
+    """,
+    # A reviewer's decision on each audit, read off the customer's orders.
+    "customer_decisions": """
+        SELECT concat('c', CAST(o_custkey AS STRING)) AS audit_id,
+               CASE WHEN count(*) > 14 THEN ' Approved ' WHEN count(*) > 12 THEN 'needs_fix' WHEN count(*) > 10 THEN 'approved_with_known_risks'
+                    WHEN count(*) > 8 THEN 'not_ready_pending_review' WHEN count(*) > 6 THEN 'unknown' END AS final_human_decision,
+               max(o_orderstatus) = 'P' AS approved_for_modeling, CAST(CASE WHEN count(*) > 9 THEN 0 ELSE 2 END AS BIGINT) AS pending
+        FROM {orders} GROUP BY o_custkey HAVING count(*) > 4
+    """,
 }
 _SOURCES = {
+    "customer_audits": ["orders"], "customer_decisions": ["orders"],
     "dirty_lineitem": ["lineitem"], "labelled_documents": ["documents", "labels"], "forecast_orders": ["orders"],
 }
 

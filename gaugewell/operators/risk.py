@@ -124,21 +124,24 @@ def route(
 
 def audit_score(aggregated: DataFrame) -> DataFrame:
     """Add the penalties, the score in 0..100 and the readiness label."""
+    # Decimal arithmetic: the score is exact before it is rounded.
+    low = f"CASE WHEN leakage_severity = 'critical' THEN 30 WHEN {_in('leakage_severity', ['severe', 'high'])} THEN 20 "
+    low += f"WHEN {_in('leakage_severity', ['medium', 'moderate'])} THEN 10 WHEN coalesce(leakage_count, 0) > 0 THEN 5 ELSE 0 END"
     parts = {
-        "quality_penalty": "greatest(0D, 100D - coalesce(quality_score, 100D)) * 0.35D",
-        "leakage_penalty": f"CASE WHEN leakage_severity = 'critical' THEN 30D WHEN {_in('leakage_severity', ['severe', 'high'])} "
-        f"THEN 20D WHEN {_in('leakage_severity', ['medium', 'moderate'])} THEN 10D WHEN coalesce(leakage_count, 0) > 0 THEN 5D ELSE 0D END",
-        "imbalance_penalty": "CASE imbalance_severity WHEN 'severe' THEN 12D WHEN 'high' THEN 8D WHEN 'moderate' THEN 4D ELSE 0D END",
-        "failure_penalty": "least(10D, 3D * coalesce(optional_failures, 0))",
-        "blocker_penalty": "if(has_blockers, 15D, 0D)",
+        "quality_penalty": "greatest(0, 100 - CAST(coalesce(quality_score, 100) AS DECIMAL(12, 4))) * CAST(0.35 AS DECIMAL(3, 2))",
+        "leakage_penalty": low,
+        "imbalance_penalty": "CASE imbalance_severity WHEN 'severe' THEN 12 WHEN 'high' THEN 8 WHEN 'moderate' THEN 4 ELSE 0 END",
+        "failure_penalty": "least(10, 3 * coalesce(optional_failures, 0))",
+        "blocker_penalty": "if(has_blockers, 15, 0)",
     }
-    raw = "100D - " + " - ".join(parts)
+    raw = "100 - " + " - ".join(parts)
     label = ("CASE WHEN raw_score >= 85 THEN 'good_starting_point' WHEN raw_score >= 70 THEN 'needs_review' "
              "WHEN raw_score >= 50 THEN 'high_review_needed' ELSE 'not_ready' END")
     return (
         aggregated.withColumns({k: F.expr(v) for k, v in parts.items()})
-        .withColumn("raw_score", F.expr(f"greatest(0D, least(100D, {raw}))"))
-        .withColumns({"readiness": F.expr(label), "audit_score": F.round("raw_score", 2)})
+        .withColumn("raw_score", F.expr(f"greatest(0, least(100, {raw}))"))
+        .withColumns({"readiness": F.expr(label), "audit_score": F.round("raw_score", 2).cast("double")})
+        .withColumns({k: F.col(k).cast("double") for k in parts})
         .drop("raw_score")
     )
 

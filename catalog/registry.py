@@ -6,6 +6,7 @@ infinities, copies and constants. A view is one SQL text that both engines run.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,20 @@ def query(sql: str | None = None):
     return add
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A supplied table; a small one is spread over the cores and kept for the passes that follow."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        _TABLES[key].createOrReplaceTempView(_view_name(sf_dir, name))
+    return _TABLES[key]
+
+
+def _view_name(sf_dir: str, name: str) -> str:
+    return f"{name}_" + re.sub(r"\W", "_", sf_dir)
 
 
 VIEWS = {
@@ -113,7 +126,10 @@ GROUP = {c: "numeric" for c in NUMBERS} | {c: "categorical" for c in STRINGS} |
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the whole of its source tables."""
-    return spark.sql(VIEWS[name], **{t: table(spark, sf_dir, t) for t in _SOURCES[name]})
+    for t in _SOURCES[name]:
+        table(spark, sf_dir, t)
+    # Named views stay registered: passing a DataFrame to spark.sql drops its view and with it the kept data.
+    return spark.sql(VIEWS[name].format(**{t: _view_name(sf_dir, t) for t in _SOURCES[name]}))
 
 
 def view_sql(name: str) -> str:

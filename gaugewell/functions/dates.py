@@ -4,27 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Accepted text forms of a date, tried in this order (month first for slashes).
-DATE_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "MM-dd-yyyy",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-]
-
-# Only cells of this shape reach the parsers; anything else is text.
-DATE_SHAPE = (
-    r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
-    r"|\d{1,2}[-/]\d{1,2}[-/]\d{4}"
-    r"|[A-Z][a-z]{2} \d{1,2}, \d{4}"
-    r"|\d{1,2} [A-Z][a-z]{2} \d{4})$"
-)
-_FRACTION = r"\.\d{1,9}$"
+# Outlines of the accepted date texts (month first for slashes) and the format of each;
+# ISO forms need none, the timestamp cast reads them.
+ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}([.]\d{1,9})?)?)?$"
+OTHER_SHAPES = {
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    r"^\d{1,2}/\d{1,2}/\d{4}$": "M/d/yyyy",
+    r"^\d{1,2}-\d{1,2}-\d{4}$": "M-d-yyyy",
+    r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$": "MMM d, yyyy",
+    r"^\d{1,2} [A-Z][a-z]{2} \d{4}$": "d MMM yyyy",
+}
+DATE_SHAPE = "|".join(f"({p})" for p in [ISO_SHAPE, *OTHER_SHAPES])
 MAX_DATE_TEXT = 40
 
 
@@ -35,10 +25,17 @@ def date_shaped(value: Column) -> Column:
 
 
 def parse_date(value: Column) -> Column:
-    """Timestamp of a string cell, or null when no accepted form fits."""
-    t = F.regexp_replace(F.trim(value), _FRACTION, "")
-    tries = [F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS]
-    return F.when(date_shaped(value), F.coalesce(*tries))
+    """Timestamp of a string cell, or null when no accepted form fits.
+
+    The outline picks the one parser to run, so a text column costs a pattern
+    match per cell and no failed parses.
+    """
+    t = F.trim(value)
+    parsed = F.when(F.length(t) > MAX_DATE_TEXT, F.lit(None).cast("timestamp")).when(
+        t.rlike(ISO_SHAPE), t.try_cast("timestamp"))
+    for shape, fmt in OTHER_SHAPES.items():
+        parsed = parsed.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
+    return parsed
 
 
 def calendar_parts(name: str, ts: Column) -> list[Column]:

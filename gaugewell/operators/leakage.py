@@ -150,10 +150,11 @@ def filled_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*others, *kept)
 
 
-def _bins(value: Column, cuts: list[float]) -> Column:
+def _bins(name: str, cuts: list[float]) -> Column:
     """Number of cut points below the value."""
-    below = [(value > F.lit(c)).cast("int") for c in sorted(set(cuts))]
-    return sum(below[1:], below[0]) if below else F.lit(0)
+    quoted = "`" + name.replace("`", "``") + "`"
+    arms = [f"WHEN {quoted} <= {c!r}D THEN {i}" for i, c in enumerate(sorted(set(cuts)))]
+    return F.expr(f"CASE {' '.join(arms)} ELSE {len(arms)} END")
 
 
 def mutual_information(df: DataFrame, target: str, bins: int = LIMITS["bins"], continuous: int = LIMITS["continuous_target"]) -> DataFrame:
@@ -186,10 +187,9 @@ def mutual_information(df: DataFrame, target: str, bins: int = LIMITS["bins"], c
     cuts = stats.quantiles_of(filled.select(*[cells.qcol(n) for n in wanted]), wanted, probs)
     if kind == "numeric":
         middle = stats.quantiles_of(labelled.select(cells.qcol(target)), [target], [0.5])[target][0]
-        label = _bins(F.coalesce(cells.finite(target, t.dtype), F.lit(middle)), cuts[target]).cast("string")
-    binned = filled.select(
-        label.alias("y"), *[_bins(cells.qcol(n), cuts[n]).alias(f"b{i}") for i, n in enumerate(kept)]
-    )
+        filled = filled.withColumn("__y", F.coalesce(cells.finite(target, t.dtype), F.lit(middle)))
+        label = _bins("__y", cuts[target]).cast("string")
+    binned = filled.select(label.alias("y"), *[_bins(n, cuts[n]).alias(f"b{i}") for i, n in enumerate(kept)])
     joint = (
         binned.unpivot(["y"], [f"b{i}" for i in range(len(kept))], "pos", "bin")
         .groupBy("pos", "bin", "y").agg(F.count(F.lit(1)).alias("c"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -363,27 +364,56 @@ def value_frequency(df: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
     )
 
 
+def _families(columns: list[ColumnInfo]) -> dict[str, dict[str, Column]]:
+    """Grouping keys by storage type: integers and times as long, floats as double, the rest as text."""
+    out: dict[str, dict[str, Column]] = {"long": {}, "double": {}, "text": {}}
+    for c in columns:
+        kind = c.dtype.simpleString()
+        if kind in ("tinyint", "smallint", "int", "bigint"):
+            out["long"][c.name] = cells.qcol(c.name).cast("long")
+        elif c.group == "datetime":
+            out["long"][c.name] = F.unix_micros(cells.qcol(c.name).cast("timestamp"))
+        elif cells.is_float(c.dtype):
+            out["double"][c.name] = cells.present(c.name, c.dtype).cast("double")
+        else:
+            out["text"][c.name] = cells.text_key(c.name, c.dtype)
+    return {k: v for k, v in out.items() if v}
+
+
 def frequency_summary(
     df: DataFrame, columns: list[ColumnInfo], n_rows: int, rare_percent: float = 1.0
 ) -> dict[str, dict[str, Any]]:
-    """Per column: distinct non-null values, dominant cell (null counts) and rare values."""
-    if not columns:
-        return {}
+    """Per column: distinct non-null values, dominant cell (null counts) and rare values.
+
+    One pass per storage type over disjoint columns, so that numbers are hashed
+    as numbers; a second, tiny aggregate per column follows in the same job.
+    """
+    found: dict[str, dict[str, Any]] = {}
     share = cells.percent(F.col("cnt"), F.lit(n_rows))
     filled = F.col("value").isNotNull()
-    rows = (
-        value_frequency(df, columns)
-        .groupBy("column")
-        .agg(
+    times = {c.name for c in columns if c.group == "datetime"}
+    for exprs in _families(columns).values():
+        names = list(exprs)
+        labels = [f"c{i}" for i in range(len(names))]
+        counts = (
+            df.select(*[exprs[n].alias(c) for n, c in zip(names, labels)]).unpivot([], labels, "pos", "value")
+            .groupBy("pos", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        )
+        rows = counts.groupBy("pos").agg(
             F.count("value").alias("n_distinct"),
-            F.min(F.struct(-F.col("cnt"), F.col("value").isNull(), F.col("value"))).alias("top"),
+            F.min(F.struct((-F.col("cnt")).alias("n"), F.col("value").isNull().alias("gap"), "value")).alias("top"),
             F.count_if(filled & (share < rare_percent)).alias("n_rare"),
         )
-        .select("column", "n_distinct", "n_rare", (-F.col("top")["col1"]).alias("dominant_count"),
-                F.col("top")["value"].alias("dominant_value"))
-        .collect()
-    )
-    return {r["column"]: r.asDict() for r in rows}
+        shown = rows.select("pos", "n_distinct", "n_rare", (-F.col("top.n")).alias("dominant_count"),
+                            F.col("top.value").cast("string").alias("dominant_value"))
+        for r in shown.collect():
+            entry = r.asDict()
+            name = names[int(entry.pop("pos")[1:])]
+            if name in times and entry["dominant_value"] is not None:
+                moment = datetime.fromtimestamp(int(entry["dominant_value"]) / 1e6, timezone.utc)
+                entry["dominant_value"] = moment.strftime("%Y-%m-%d %H:%M:%S")
+            found[name] = entry
+    return found
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:

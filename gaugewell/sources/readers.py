@@ -13,13 +13,13 @@ PREVIEW_ROWS = 100_000
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Give a table with fewer input splits than cores one partition per core.
+    """Give a table with fewer input splits than cores one partition per core, and keep it for later passes.
 
-    Only a table small enough to have that few splits is moved; a large scan is
-    returned as it is.
+    Only a table of that few splits (each at most spark.sql.files.maxPartitionBytes)
+    is moved and kept; a large scan is returned as it is.
     """
     wanted = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    return df.repartition(wanted).persist() if df.rdd.getNumPartitions() < wanted else df
 
 
 def _header_names(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:

@@ -144,11 +144,15 @@ def scan(
     found: dict[str, dict[str, Any]] = {}
     if by_kind["number"]:
         finite = {"v": F.expr(_FINITE)}
-        found |= reduce_cells(df, by_kind["number"], _numeric_aggs(want), finite)
-        if "quantiles" in want:
-            # Apart from the moments: a sketch in the same aggregate would turn off code generation for them.
-            for name, entry in reduce_cells(df, by_kind["number"], _bracket_aggs(list(probs)), finite).items():
-                found[name] |= entry
+        aggs = _numeric_aggs(want)
+        if "quantiles" in want and not want & {"numeric", "labels"}:
+            found |= reduce_cells(df, by_kind["number"], aggs | _bracket_aggs(list(probs)), finite)
+        else:
+            found |= reduce_cells(df, by_kind["number"], aggs, finite)
+            if "quantiles" in want:
+                # Apart from the moments: a sketch in the same aggregate would turn off code generation for them.
+                for name, entry in reduce_cells(df, by_kind["number"], _bracket_aggs(list(probs)), finite).items():
+                    found[name] |= entry
     if by_kind["text"]:
         found |= reduce_cells(df, by_kind["text"], *_text_aggs(want))
     counts = {"n_rows": "count(1)", "n_present": "count(x)"}

@@ -112,7 +112,7 @@ def test_safe_exports(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "j")).count() == 3 and spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
     keys = spark.createDataFrame([(" F1 (macro)/mean ",), ("%%",)], "k string")
     assert [r[0] for r in keys.select(sinks.metric_name(F.col("k"))).collect()] == ["f1_macro_mean", "metric"]
-    assert keys.select(F.length(sinks.param_value(F.repeat(F.lit("x"), 600)))).first()[0] == 500
+    assert keys.select(F.length(sinks.param_value(F.repeat(F.lit("x"), 600)))).first()[0] == 500 - 15 + len(sinks.CUT_MARK)
 
 
 def test_full_audit_gate_then_approval(spark, leaky_df, tmp_path):
@@ -130,4 +130,4 @@ def test_full_audit_gate_then_approval(spark, leaky_df, tmp_path):
     runs = spark.read.parquet(str(tmp_path / "log" / "runs"))
     assert runs.where(F.col("parent_id") == run).select("run_id").distinct().count() == 2
     sinks.write_report({"findings": audited.tables["findings"]}, outcome["reports"], str(tmp_path / "report"))
-    assert spark.read.text(str(tmp_path / "report" / "html")).count() == 1
+    assert spark.read.text(str(tmp_path / "report" / "html"), wholetext=True).count() == 1

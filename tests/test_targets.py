@@ -28,7 +28,8 @@ def test_bool_like_labels_and_warnings(spark):
     df = spark.createDataFrame([(" Yes",), ("no",), ("YES",), (None,)], "t string")
     types = problem.detect(df, "t", None)
     assert types.first()["is_bool_like"]
-    assert {r["warning"] for r in problem.warnings(types).collect()} == {"few_rows", "missing_target", "positive_class"}
+    # Three spellings in three labelled rows: each raw label occurs once.
+    assert {r["warning"] for r in problem.warnings(types).collect()} == {"few_rows", "missing_target", "positive_class", "mostly_unique"}
 
 
 def test_single_value_target_is_an_error(spark):

@@ -56,16 +56,18 @@ def _outliers(df: DataFrame, infos: list[ColumnInfo], found: dict[str, dict[str,
 
 def gather(
     df: DataFrame, target: str | None = None, need: set[str] = frozenset(), only: list[str] | None = None,
-    rare_percent: float = 1.0, iqr_multiplier: float = 1.5, outlier_min_values: int = 10,
+    rare_percent: float = 1.0, iqr_multiplier: float = 1.5, outlier_min_values: int = 10, exact_distinct: bool = True,
 ) -> Facts:
     """Collect the facts named in `need`.
 
     numeric, infinite, labels, dates, classes come from one scan; quantiles add
     the exact quartiles, outliers the bounds and counts, frequency the distinct,
-    dominant and rare counts.
+    dominant and rare counts. With `exact_distinct` off, numeric columns other
+    than the target take their distinct count from a sketch and are not shuffled.
     """
     infos = columns_of(df, only)
-    want = set(need) | ({"quantiles"} if "outliers" in need else set())
+    sketched = [c for c in infos if c.group == "numeric" and c.name != target and not exact_distinct and "frequency" in need]
+    want = set(need) | ({"quantiles"} if "outliers" in need or sketched else set())
     n_rows, found = stats.scan(df, want, infos)
     if "quantiles" in want:
         numbers = {n: f for n, f in found.items() if f.get("n_valid")}
@@ -75,8 +77,16 @@ def gather(
     if "outliers" in need:
         _outliers(df, infos, found, iqr_multiplier, outlier_min_values)
     if "frequency" in need:
-        for name, f in stats.frequency_summary(df, infos, n_rows, rare_percent).items():
+        counted = [c for c in infos if c not in sketched]
+        for name, f in stats.frequency_summary(df, counted, n_rows, rare_percent).items():
             found[name] |= f
+        long_cells = {n: [f.get("dominant_value")] for n, f in found.items() if f.get("dominant_count", 0) * 2 > n_rows}
+        for (name, _), whole in stats.restore_texts(df, long_cells).items():
+            found[name]["dominant_value"] = whole
+        if sketched:
+            medians = {c.name: found[c.name].get("median") for c in sketched}
+            for name, f in stats.approximate_distinct(df, sketched, medians).items():
+                found[name] |= f
     for c in infos:
         f = found[c.name]
         f |= {

@@ -21,7 +21,7 @@ CATEGORY_CAPS = {
 LIMITS = {
     "missing_medium": 20.0, "missing_high": 50.0, "near_constant": 95.0, "cardinality": 50, "id_unique": 95.0,
     "rare_percent": 1.0, "rare_share": 20.0, "iqr_multiplier": 1.5, "outlier_min_values": 10, "outlier_medium": 5.0,
-    "duplicate_high": 5.0, "numeric_ids": False,
+    "duplicate_high": 5.0, "numeric_ids": False, "exact_distinct": True,
 }
 
 FINDING_SCHEMA = {
@@ -205,7 +205,7 @@ def gather_facts(df: DataFrame, target: str, need: set[str], **limits) -> Facts:
     k = LIMITS | limits
     return facts_mod.gather(
         df, target, need, rare_percent=k["rare_percent"], iqr_multiplier=k["iqr_multiplier"],
-        outlier_min_values=max(3, k["outlier_min_values"]),
+        outlier_min_values=max(3, k["outlier_min_values"]), exact_distinct=k["exact_distinct"],
     )
 
 

@@ -420,6 +420,35 @@ def frequency_summary(
     return found
 
 
+def restore_texts(df: DataFrame, digests: dict[str, list[str]]) -> dict[tuple[str, str], str]:
+    """Whole texts behind the digests of long cells, for the few cells a report shows."""
+    wanted = {n: [d for d in ds if d and d.startswith(cells.DIGEST_MARK)] for n, ds in digests.items()}
+    found: dict[tuple[str, str], str] = {}
+    for c in columns_of(df, [n for n, ds in wanted.items() if ds]):
+        body = cells.text(c.name, c.dtype)
+        key = cells.text_key(c.name, c.dtype)
+        rows = df.select(key.alias("k"), body.alias("t")).where(F.col("k").isin(wanted[c.name])).groupBy("k").agg(F.min("t").alias("t"))
+        found |= {(c.name, r["k"]): r["t"] for r in rows.collect()}
+    return found
+
+
+def approximate_distinct(df: DataFrame, columns: list[ColumnInfo], medians: dict[str, float | None]) -> dict[str, dict[str, Any]]:
+    """Distinct counts of numeric columns from sketches, and the exact count of the only value that can dominate.
+
+    A cell value that fills more than half of the values is their median, so the
+    near-constant check needs no shuffle of the values.
+    """
+    exprs = {c.name: cells.present(c.name, c.dtype).cast("double") for c in columns}
+    found = reduce_cells(df, exprs, {"n_distinct": "approx_count_distinct(x)", "gaps": "count_if(x IS NULL)"})
+    hits = {n: e == F.lit(medians[n]) for n, e in exprs.items() if medians.get(n) is not None}
+    counts = reduce_cells(df, hits, {"k": "count_if(x)"}) if hits else {}
+    for name, entry in found.items():
+        k, gaps = counts.get(name, {"k": 0})["k"], entry.pop("gaps")
+        value = None if gaps > k or medians.get(name) is None else str(medians[name])
+        entry |= {"dominant_count": max(k, gaps), "dominant_value": value}
+    return found
+
+
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """One row (rows, duplicate_rows): the extra copies of identical rows.
 

@@ -54,6 +54,17 @@ def test_fill_scale_and_unknown_labels(spark):
     assert prep.feature_names(model.transform(new)) == ["numeric__x", "categorical__c_a", "categorical__c_b"]
 
 
+def test_long_labels_and_category_limit(spark):
+    long = "w" * 90
+    df = spark.createDataFrame([(long,), (long,), ("b",), ("c",), ("d",), ("d",), ("d",)], "c string")
+    model = prep.FeatureEncoder(prep.FeatureGroups(categorical=["c"])).fit(df)
+    rows = {r["c"]: list(r["v"]) for r in model.transform(df).select("c", vector_to_array("features").alias("v")).collect()}
+    assert all(sum(v) == 1.0 for v in rows.values()) and rows[long] != rows["b"]
+    few = prep.FeatureEncoder(prep.FeatureGroups(categorical=["c"]), max_categories=3).fit(df)
+    rows = {r["c"]: list(r["v"]) for r in few.transform(df).select("c", vector_to_array("features").alias("v")).collect()}
+    assert len(rows["d"]) == 3 and rows["b"] == rows["c"] != rows["d"]
+
+
 def test_class_metrics_by_hand(spark):
     pairs = [("0", "0")] * 5 + [("0", "1")] * 1 + [("1", "1")] * 2 + [("1", "0")] * 2
     m = {r["metric"]: r["value"] for r in evaluate.classification_metrics(spark.createDataFrame(pairs, "label string, prediction string"), "binary_classification").collect()}

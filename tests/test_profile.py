@@ -102,4 +102,16 @@ def test_long_texts_count_whole_cells(spark):
     base = "x" * 500
     df = spark.createDataFrame([(base + "1",), (base + "2",), (base + "1",)], "t string")
     facts = gather(df, None, {"frequency"})
-    assert facts["t"]["n_distinct"] == 2 and facts["t"]["dominant_count"] == 2
+    assert facts["t"]["n_distinct"] == 2 and facts["t"]["dominant_count"] == 2 and facts["t"]["dominant_value"] == base + "1"
+    assert profile.top_values(df, ["t"]).orderBy("position").first()["value"] == base + "1"
+
+
+def test_sketched_distinct_counts_keep_the_dominant_value(spark):
+    df = spark.range(200).select(
+        F.when(F.col("id") < 195, 7.0).otherwise(F.col("id")).alias("mostly"), (F.col("id") % 40).alias("spread"),
+        F.when(F.col("id") < 3, 1).alias("gaps"), (F.col("id") % 2).alias("t"))
+    exact, quick = gather(df, "t", {"frequency"}), gather(df, "t", {"frequency"}, exact_distinct=False)
+    for name in ("mostly", "gaps"):
+        assert quick[name]["dominant_count"] == exact[name]["dominant_count"]
+    assert quick["mostly"]["dominant_value"] == "7.0" and quick["gaps"]["dominant_value"] is None
+    assert abs(quick["spread"]["n_distinct"] - 40) <= 4

@@ -222,7 +222,7 @@ def _bracketed(x: str, intervals: list[tuple[float, float]]) -> str:
     """SQL that keeps values inside an interval and maps each gap below one to a stand-in inside the gap."""
     arms, previous = [], None
     for lo, hi in intervals:
-        gap = "double('-infinity')" if previous is None else f"{(previous + lo) / 2!r}D"
+        gap = "double('-infinity')" if previous is None else f"{previous / 2 + lo / 2!r}D"
         arms.append(f"WHEN {x} < {lo!r}D THEN {gap} WHEN {x} <= {hi!r}D THEN {x}")
         previous = hi
     return f"CASE {' '.join(arms)} END"

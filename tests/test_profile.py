@@ -47,6 +47,11 @@ def test_quantiles_survive_narrow_and_missed_brackets(spark):
     assert plain["hot"] == [4.0, 4.0, 4.0]
 
 
+def test_quantiles_of_extreme_values(spark):
+    df = spark.createDataFrame([(-1.7e308,), (-1.0,), (5e-324,), (1.6e308,), (1.7e308,)], "x double")
+    assert stats.quantiles_of(df, ["x"], [0.25, 0.5, 0.75])["x"] == [-1.0, 5e-324, 1.6e308]
+
+
 def test_type_groups_and_dates(spark):
     df = spark.createDataFrame(
         [("2024-01-05", "red", True, 1, [1]), ("2024-02-06", "blue", False, 2, [2]), ("bad", "red", None, 3, [3]),

@@ -6,6 +6,7 @@ from catalog.profiling import pct
 from catalog.registry import query, table, view, view_sql
 from gaugewell.functions import cells
 from gaugewell.operators import metrics, report, review, risk
+from gaugewell.plans import audit as plan
 from gaugewell.sources import sinks
 from pyspark.sql import functions as F
 
@@ -243,3 +244,12 @@ def metric_aliases(spark, sf_dir):
 def event_shares(spark, sf_dir):
     df = table(spark, sf_dir, "events").groupBy("event_type")
     return df.agg(F.count_if(F.col("value") > 100).alias("k"), F.count(F.lit(1)).alias("n")).select("event_type", cells.percent(F.col("k"), F.col("n")).alias("share"))
+
+
+@query()
+def full_audits(spark, sf_dir):
+    """Two whole audits with one decision step: every check runs, training waits for the review."""
+    specs = [plan.Spec("orders", table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey"),
+             plan.Spec("customer", table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey")]
+    _, outcome = plan.audit_many(specs, "human_gate", train=False)
+    return outcome["summary"]

@@ -33,7 +33,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORDS}') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> w[i:i + 3])) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])) END AS s FROM words),
 posted AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 links AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM posted a JOIN posted b ON a.g = b.g AND a.doc_id <> b.doc_id

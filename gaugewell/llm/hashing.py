@@ -114,12 +114,16 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(sequence_hashes(words, min(k, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
-def documents_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) for each text of a column, in order."""
+def slice_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, where each row's words begin and the last one's end) for each slice of a column."""
     for first, last in slices(texts):
         data, ends = as_bytes(texts.slice(first, last - first))
         starts, stops = word_spans(data, ends)
-        hashes = word_hashes(data, starts, stops, lower)
-        at = np.searchsorted(starts, ends)
-        for i in range(last - first):
+        yield first, word_hashes(data, starts, stops, lower), np.searchsorted(starts, ends)
+
+
+def documents_words(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, word hashes) for each text of a column, in order."""
+    for first, hashes, at in slice_words(texts, lower):
+        for i in range(len(at) - 1):
             yield first + i, hashes[at[i]:at[i + 1]]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugewell.llm.ngram_join import jaccard_join
+from gaugewell.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +50,23 @@ FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, len(s.s)
 @_query("op1_ngram_jaccard_join", JACCARD_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+covered AS (
+  SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE doc_id > f), range(50) t(j)),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY pos) AS k, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM words) ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@_query("op7_substring_dedup", SUBSTRING_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -5,7 +5,7 @@ between different texts is lost and none is invented (sets are compared as 64-bi
 
 1. Every text becomes a set; equal sets are one class from here on, so a group of exact copies costs one row.
 2. A set of n shingles with a link misses at most n - ceil(t n) shingles in its partner. Shingles in a fixed quarter of the
-   hash space are counted over the corpus; classes with more shingles of their own than that link with nothing and leave.
+   hash space are counted over the corpus; documents with more shingles of their own than that link with nothing and leave.
 3. The rest order their shingles by rarity. Linked sets share one of their first n - ceil(t n) + 1, so shingles in these prefixes
    gather sets into families, by connected components. A family is a forest of signature trees.
 4. A family is dealt into blocks of bounded size, by size band and then by hash. A task builds a signature tree over each of its
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.hashing import documents_words, mix, shingles
-from gaugewell.llm.shared import components, cut, stored
+from gaugewell.llm.shared import components, cut, small, stored
 
 BLOCK_SHINGLES, BLOCK_SETS, LEAF, FANOUT, FRONTIER = 400_000, 2_000, 8, 8, 16_384
 _QUARTER = np.uint64(1 << 62)
@@ -250,13 +250,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     missing = f"(n - floor(({num} * n + {den} - 1) / {den}))"  # shingles that a linked set may lack in its partner
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = stored(source.mapInArrow(partial(_sets, k=k, whole=False), _SET_SCHEMA))
+    quarters = source.mapInArrow(partial(_sets, k=k, whole=False), _SET_SCHEMA)
+    sets = stored(quarters.drop("tokens"))
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.max("n").alias("n"))
     able = f"{den} * n >= {num} * (n + 1)"  # smaller sets link with equal ones only
-    rare = (sets.where(able).select("h1", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("h1").alias("h1"), F.max("h1").alias("other"))
-            .where("h1 = other").groupBy("h1").agg(F.count("*").alias("own")))
-    open_classes = classes.where(able).where("cls is not null").join(rare, "h1", "left").where(f"coalesce(own, 0) <= {missing}").select("cls", "h1", "h2")
-    wanted = source.join(open_classes.select(F.col("cls").alias("id")), "id", "left_semi")
+    rare = (quarters.where(able).where("id is not null").select("id", F.explode("tokens").alias("token")).groupBy("token")
+            .agg(F.min("id").alias("cls"), F.max("id").alias("other")).where("cls = other").groupBy("cls").agg(F.count("*").alias("own")))
+    repeated = sets.groupBy(F.col("id").alias("cls")).count().where("count > 1").select("cls", F.lit(True).alias("repeated"))
+    open_classes = classes.where(able).where("cls is not null").join(rare, "cls", "left").join(repeated, "cls", "left")
+    open_classes = cut(open_classes.where(f"repeated or coalesce(own, 0) <= {missing}").select("cls", "h1", "h2"))
+    wanted = source.join(small(open_classes.select(F.col("cls").alias("id"))), "id", "left_semi")
     whole = wanted.mapInArrow(partial(_sets, k=k, whole=True), _SET_SCHEMA)
     nodes = stored(whole.join(open_classes.withColumnRenamed("cls", "id"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "tokens"))
     postings = nodes.select("id", "n", F.explode("tokens").alias("token"))

@@ -30,6 +30,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A checkpointed table of a few numbers a row, hinted for a broadcast join if it has at most `most` rows; else joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected link table (a, b): rows (node, component), component being the smallest node.
 

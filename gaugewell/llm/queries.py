@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from gaugewell.llm.ngram_join import jaccard_join
 from gaugewell.llm.packing import pack
 from gaugewell.llm.substring_dedup import substring_dedup
+from gaugewell.llm.toxicity import fit as fit_toxicity
+from gaugewell.llm.toxicity import held_out, labelled_sample, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+TRAINING_ROWS = 3_000  # labelled rows of each class that fit a classifier
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -77,3 +80,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_best_fit_packing")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op4_toxicity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", "doc_id", "text", TRAINING_ROWS, "crc32(cast(id as string)) % 3 <> 1")
+    scored = score_toxicity(docs, fit_toxicity(rows))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")

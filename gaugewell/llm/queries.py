@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewell.llm.bpe import decode, encode
 from gaugewell.llm.ngram_join import jaccard_join
 from gaugewell.llm.packing import pack
 from gaugewell.llm.substring_dedup import substring_dedup
@@ -88,3 +89,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", "doc_id", "text", TRAINING_ROWS, "crc32(cast(id as string)) % 3 <> 1")
     scored = score_toxicity(docs, fit_toxicity(rows))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@_query("op9_byte_level_bpe")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    rows = decode(encode(_table(spark, sf_dir, "documents"), **use), **use)
+    return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -5,7 +5,8 @@ between different texts is lost and none is invented (sets are compared as 64-bi
 
 1. Every text becomes a set; equal sets are one class from here on, so a group of exact copies costs one row.
 2. A set of n shingles with a link misses at most n - ceil(t n) shingles in its partner. Shingles in a fixed quarter of the
-   hash space are counted over the corpus; documents with more shingles of their own than that link with nothing and leave.
+   hash space are counted over the corpus; documents with more shingles of their own than that link with nothing and leave. This
+   is done once more among those that stay.
 3. The rest order their shingles by rarity. Linked sets share one of their first n - ceil(t n) + 1, so shingles in these prefixes
    gather sets into families, by connected components. A family is a forest of signature trees.
 4. A family is dealt into blocks of bounded size, by size band and then by hash. A task builds a signature tree over each of its
@@ -245,23 +246,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are lower-cased (A-Z) runs of characters other than space and 0x09-0x0D. Sets link when den * |both| >= num * |either|.
     component_id is the smallest id reachable by links, kept tells whether that is the row itself. Null and empty texts, and texts
     without words, have no shingles and link with nothing; fewer than k words are one shingle. Rows that repeat an id each get a
-    row; equal rows are linked to each other. A null id is never the smallest; a row whose whole component has null ids has a null
+    row; equal rows are linked to each other, and of different texts under one id the one of the smallest digest stands for the id
+    in links with others. A null id is never the smallest; a row whose whole component has null ids has a null
     component and is kept. Other columns are ignored. An empty table gives an empty result.
     """
     missing = f"(n - floor(({num} * n + {den} - 1) / {den}))"  # shingles that a linked set may lack in its partner
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    quarters = source.mapInArrow(partial(_sets, k=k, whole=False), _SET_SCHEMA)
-    sets = stored(quarters.drop("tokens"))
+    sets = stored(source.mapInArrow(partial(_sets, k=k, whole=False), _SET_SCHEMA).drop("tokens"))
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.max("n").alias("n"))
     able = f"{den} * n >= {num} * (n + 1)"  # smaller sets link with equal ones only
-    rare = (quarters.where(able).where("id is not null").select("id", F.explode("tokens").alias("token")).groupBy("token")
-            .agg(F.min("id").alias("cls"), F.max("id").alias("other")).where("cls = other").groupBy("cls").agg(F.count("*").alias("own")))
     repeated = sets.groupBy(F.col("id").alias("cls")).count().where("count > 1").select("cls", F.lit(True).alias("repeated"))
-    open_classes = classes.where(able).where("cls is not null").join(rare, "cls", "left").join(repeated, "cls", "left")
-    open_classes = cut(open_classes.where(f"repeated or coalesce(own, 0) <= {missing}").select("cls", "h1", "h2"))
-    wanted = source.join(small(open_classes.select(F.col("cls").alias("id"))), "id", "left_semi")
+    open_classes, wanted = classes.where(able).where("cls is not null").join(repeated, "cls", "left"), source
+    for _ in range(2):  # the second time among those that are left, one of each class
+        quarters = wanted.mapInArrow(partial(_sets, k=k, whole=False), _SET_SCHEMA).where(able).where("id is not null")
+        rare = (quarters.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("id").alias("cls"), F.max("id").alias("other"))
+                .where("cls = other").groupBy("cls").agg(F.count("*").alias("own")))
+        open_classes = cut(open_classes.join(rare, "cls", "left").where(f"repeated or coalesce(own, 0) <= {missing}").drop("own"))
+        wanted = source.join(small(open_classes.select(F.col("cls").alias("id")).distinct()), "id", "left_semi")
+    open_classes = open_classes.groupBy("cls").agg(F.min(F.struct("h1", "h2")).alias("d")).select("cls", "d.h1", "d.h2")
     whole = wanted.mapInArrow(partial(_sets, k=k, whole=True), _SET_SCHEMA)
-    nodes = stored(whole.join(open_classes.withColumnRenamed("cls", "id"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "tokens"))
+    nodes = stored(whole.join(open_classes.select(F.col("cls").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "tokens"))
     postings = nodes.select("id", "n", F.explode("tokens").alias("token"))
     common = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(common, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))

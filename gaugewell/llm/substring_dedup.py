@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from gaugewell.llm.hashing import documents_words, sequence_hashes, slice_words
 
 ANCHOR_WORDS = 8
+NO_ID = -(1 << 63)  # stands for a null id
 CELLS = 1 << 40  # of each sketch row; cells are kept only where touched, so the width costs nothing
 
 
@@ -115,12 +116,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removed on account of each other. Columns outside carry are ignored, and their names may be anything. An empty table gives
     an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                         *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    source = source.withColumn("h", F.xxhash64("text"))
-    keyed = source.select("id", "h", "text")
+    # the key of a text is never null: then both joins with the texts have the same input, and Spark shuffles the texts once
+    names = [f"c{i}" for i in range(len(carry))]
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                         *[F.col(c).alias(n) for c, n in zip(carry, names)])
+    source = source.withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    known = source.where(f"id <> {NO_ID}")
     # pass 1: sparse count-min sketch with two rows of cells
-    runs = keyed.where("id is not null").mapInArrow(partial(_anchors, window=window), "id long, h long, anchor long, start int, length int, once int")
+    runs = known.select("id", "h", "text").mapInArrow(partial(_anchors, window=window), "id long, h long, anchor long, start int, length int, once int")
     cell = [F.expr(f"shiftrightunsigned(anchor, 24) % {CELLS}"), F.expr(f"shiftrightunsigned(xxhash64(anchor), 24) % {CELLS}")]
     cells = runs.where("once = 1").select(F.explode(F.array(*[F.struct(F.lit(j).alias("row"), c.alias("cell")) for j, c in enumerate(cell)])).alias("x"))
     sketch = cells.groupBy("x.row", "x.cell").agg(F.count("*").alias("estimate")).where("estimate >= 2")
@@ -128,18 +131,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = spans.withColumn("cell", cell[1]).join(sketch.where("row = 1").select("cell"), "cell", "left_semi")
     spans = spans.groupBy("id", "h").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     # copies of a whole text: all but the smallest id lose everything
-    digests = source.select("id", "h", F.md5("text").alias("digest"))
+    digests = known.select("id", "h", F.md5("text").alias("digest"))
     least = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
     copies = digests.join(least, "digest").where("id > least").select("id", "h", F.lit(True).alias("copy")).distinct()
     # pass 2: exact groups
-    text_of = keyed.join(spans.join(copies, ["id", "h"], "left_anti").hint("shuffle_hash"), ["id", "h"])
-    windows = text_of.select("id", "h", "text", "spans").mapInArrow(partial(_windows, window=window), "w1 long, w2 int, id long, h long, start int")
+    text_of = source.join(spans.join(copies, ["id", "h"], "left_anti").hint("shuffle_hash"), ["id", "h"])
+    windows = text_of.select("id", "h", "text", "spans", *names).mapInArrow(partial(_windows, window=window), "w1 long, w2 int, id long, h long, start int")
     first = windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     marks = windows.join(first, ["w1", "w2"]).where("id > first").groupBy("id", "h").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     settled = marks.join(copies, ["id", "h"], "full")
     out = source.join(settled.hint("shuffle_hash"), ["id", "h"], "left")
-    names = [f"c{i}" for i in range(len(carry))]
     out = out.select("id", "text", "starts", "copy", *names)
     kinds = ", ".join(["id long, n_words long, n_removed long, kept_text string", *(f"{c} {out.schema[c].dataType.simpleString()}" for c in names)])
     out = out.mapInArrow(partial(_remove, window=window), kinds)
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text", *[F.col(n).alias(c) for n, c in zip(names, carry)])
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), "n_words", "n_removed", "kept_text", *[F.col(n).alias(c) for n, c in zip(names, carry)])

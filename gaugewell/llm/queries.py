@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewell.llm.bpe import decode, encode
+from gaugewell.llm.classifier import held_out, labelled_sample
 from gaugewell.llm.ngram_join import jaccard_join
 from gaugewell.llm.packing import pack
+from gaugewell.llm.quality import fit as fit_quality
+from gaugewell.llm.quality import score_quality
 from gaugewell.llm.substring_dedup import substring_dedup
 from gaugewell.llm.toxicity import fit as fit_toxicity
-from gaugewell.llm.toxicity import held_out, labelled_sample, score_toxicity
+from gaugewell.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +99,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
     rows = decode(encode(_table(spark, sf_dir, "documents"), **use), **use)
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query("op10_quality_classifier")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", "doc_id", "text", TRAINING_ROWS, "crc32(cast(id as string)) % 3 <> 1")
+    return score_quality(docs, fit_quality(rows)).withColumn("held_out", held_out("doc_id"))

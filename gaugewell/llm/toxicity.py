@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewell.llm.classifier import fit_logistic
+
 GRID = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 COMMON_BYTES, END_BYTES, MARKED_BYTES, LEAST_EVIDENCE, SHORTEST = 48_000, 3_000, 1_500, 20.0, 4
 CACHE_WORDS = 400_000
@@ -83,17 +85,6 @@ def _inputs(counts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(marked), np.log((marked + 0.3) / (words + 30)), np.log1p(words), np.ones(len(counts))])
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, shrink: float = 0.1) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + shrink * np.eye(len(w)), x.T @ (p - y) + shrink * w)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """Fits from (text, label) rows: one half gives the dictionaries, the other calibrates. Repeated texts count once."""
     rows = list(dict.fromkeys((t, int(label)) for t, label in rows))
@@ -131,7 +122,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     if not rest:
         return Model(model.common, model.toxic, model.ordinary, (0.0,) * (2 * len(GRID) + 2))
     counts = np.array([measure.counts(t) for t, _ in rest])
-    return Model(model.common, model.toxic, model.ordinary, tuple(_fit_logistic(_inputs(counts), np.array([k for _, k in rest], float))))
+    return Model(model.common, model.toxic, model.ordinary, tuple(fit_logistic(_inputs(counts), np.array([k for _, k in rest], float))))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -143,16 +134,6 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, most_rows: int, usable: str = "true") -> list[tuple[str, int]]:
-    """Up to most_rows (text, 0 or 1) rows of each class that satisfy `usable`, a condition on the column id: those of smallest id hash."""
-    label = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(usable)
-    chosen = [label.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most_rows) for k in (0, 1)]
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("id", "text", "label").toPandas()  # at most 2 * most_rows rows
-    rows = rows.sort_values(["id", "label"], kind="stable")
-    return list(zip(rows["text"], rows["label"]))
-
-
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7,
                    carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, score (0 to 1), predicted (1 from the threshold on), and the columns named in carry.
@@ -165,8 +146,3 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     scored = source.mapInArrow(partial(_score, model=model), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema) + ", score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                          *[F.col(n).alias(c) for n, c in zip(names, carry)])
-
-
-def held_out(id_col: str):
-    """Rows kept from all fitting: the remainder of crc32 of the id as text by 3 is 1."""
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1

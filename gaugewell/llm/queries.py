@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm.bpe import decode, encode
 from gaugewell.llm.classifier import held_out, labelled_sample
+from gaugewell.llm.fingerprints import LEAF, SKETCH, edited_fingerprints
 from gaugewell.llm.ngram_join import jaccard_join
 from gaugewell.llm.packing import pack
 from gaugewell.llm.quality import fit as fit_quality
@@ -106,3 +107,41 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", "doc_id", "text", TRAINING_ROWS, "crc32(cast(id as string)) % 3 <> 1")
     return score_quality(docs, fit_quality(rows)).withColumn("held_out", held_out("doc_id"))
+
+
+def _print_sql(text: str, source: str, out: str) -> str:
+    """CTEs that give (doc_id, sketch, fp) of a text column of a table."""
+    return rf"""
+{out}_p AS (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda x: md5(x)) AS p,
+  list_sort(list_distinct(list_transform(regexp_extract_all({text}, '{LEAF}'), lambda x: md5(x)[1:8]))) AS leaves FROM {source}),
+{out}_b AS (SELECT *, list_filter(range(0, len(p)), lambda i: i = 0 OR p[i + 1][1:1] < '4') AS b FROM {out}_p),
+{out}_s AS (SELECT *, list_transform(range(1, len(b) + 1), lambda j: p[b[j] + 1:CAST(coalesce(b[j + 1], len(p)) AS BIGINT)]) AS s FROM {out}_b),
+{out} AS (SELECT doc_id, leaves[1:{SKETCH}] AS sketch, list_transform(s, lambda x: md5(array_to_string(x, ''))[1:8]) AS short,
+  sha256(array_to_string(list_transform(s, lambda x: md5(array_to_string(x, ''))), '')) || '|' || coalesce(array_to_string(leaves[1:{SKETCH}], ','), '') || '|' ||
+  array_to_string(list_transform(s, lambda x: md5(array_to_string(x, ''))[1:8] || ':' || array_to_string(list_transform(x, lambda y: y[1:8]), ',')), ';') AS fp
+  FROM {out}_s)"""
+
+
+def _near_sql(a: str, b: str) -> str:
+    union = f"list_sort(list_distinct(list_concat({a}.sketch, {b}.sketch)))[1:{SKETCH}]"
+    both = f"len(list_intersect(list_intersect({a}.sketch, {b}.sketch), {union}))"
+    return f"CASE WHEN {a}.fp = {b}.fp THEN 1.0::DOUBLE WHEN len({union}) = 0 THEN 0.0::DOUBLE ELSE CAST(2 * {both} AS DOUBLE) / ({both} + len({union})) END"
+
+
+FINGERPRINT_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT *, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+  FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, substr(text, 1, n - n // 3) || substr(next_text, 1, n // 3) AS edited FROM o),
+{_print_sql('text', 'e', 'own')},
+{_print_sql('edited', 'e', 'changed')}
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, own.fp AS fingerprint, changed.fp AS edited_fingerprint,
+  {_near_sql('own', 'changed')} AS near_edited, {_near_sql('own', 'nxt')} AS near_next,
+  CAST(len(list_filter(own.short, lambda x: NOT list_contains(changed.short, x))) AS INTEGER) AS n_changed
+FROM e JOIN own USING (doc_id) JOIN changed USING (doc_id) JOIN own nxt ON nxt.doc_id = e.next_id
+"""
+
+
+@_query("op8_document_fingerprints", FINGERPRINT_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))

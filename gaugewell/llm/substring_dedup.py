@@ -80,8 +80,8 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 names=["w1", "w2", "id", "h", "start"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Words outside the marked windows, joined by one space."""
+def _remove(batches: Iterator[pa.RecordBatch], window: int, layout: bool) -> Iterator[pa.RecordBatch]:
+    """Words outside the marked windows, joined by one space; with layout, a text that loses nothing as it is."""
     for batch in batches:
         texts, marks, copies = batch.column(1), batch.column(2), batch.column(3)
         rows, size = [], 0
@@ -96,7 +96,8 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 np.add.at(steps, starts, 1)
                 np.add.at(steps, starts + window, -1)
                 kept = list(compress(words, np.cumsum(steps)[:-1] == 0))
-            rows.append((i, len(words), len(words) - len(kept), b" ".join(kept).decode()))
+            same = layout and len(kept) == len(words)
+            rows.append((i, len(words), len(words) - len(kept), texts[i].as_py() if same else b" ".join(kept).decode()))
             size += len(rows[-1][3])
             if size > 1 << 22 or i == len(batch) - 1:
                 at, n, removed, text = zip(*rows)
@@ -107,8 +108,10 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 rows, size = [], 0
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_text, and the columns named in carry.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: tuple[str, ...] = (),
+                    layout: bool = False) -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_text, and the columns named in carry. kept_text joins the kept
+    words by one space; with layout, texts that lose nothing stay as they are.
 
     A word (run of characters other than space and 0x09-0x0D) is removed if a window that covers it also starts in a document
     with a smaller id; windows are judged on the input. Null texts are empty; texts shorter than a window keep every word. A null
@@ -143,5 +146,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = source.join(settled.hint("shuffle_hash"), ["id", "h"], "left")
     out = out.select("id", "text", "starts", "copy", *names)
     kinds = ", ".join(["id long, n_words long, n_removed long, kept_text string", *(f"{c} {out.schema[c].dataType.simpleString()}" for c in names)])
-    out = out.mapInArrow(partial(_remove, window=window), kinds)
+    out = out.mapInArrow(partial(_remove, window=window, layout=layout), kinds)
     return out.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), "n_words", "n_removed", "kept_text", *[F.col(n).alias(c) for n, c in zip(names, carry)])

@@ -24,7 +24,8 @@ from gaugewell.llm.hashing import slices
 from gaugewell.llm.shared import stored
 
 PIECES_PER_PARTITION = 20_000
-CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 24 << 20
+BLOCK_WORDS, MARK = 500, b"\x01"
 ROUNDS = 5
 
 
@@ -40,6 +41,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -47,11 +49,23 @@ class WordEncoder:
         self.start, self.length, self.ids, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
     def learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+        """Encodes new words in blocks, with a mark between them that is a token of its own; words that hold the mark go alone."""
+        plain, blocks = [w for w in words if MARK not in w], []
+        for i in range(0, len(plain), BLOCK_WORDS):
+            blocks.append((b" " + MARK + b" ").join(plain[i:i + BLOCK_WORDS]).decode())
+        odd = [w for w in words if MARK in w]
+        starts, lengths, ids, size = [], [], [], len(self.ids)
+        for e in self.tokenizer.encode_batch_fast(blocks + [w.decode() for w in odd], add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            ends = np.append(np.flatnonzero(ids[-1] == self.mark), len(ids[-1])) if len(ids) <= len(blocks) else np.array([len(ids[-1])])
+            begins = np.append(0, ends[:-1] + 1)
+            starts.append(begins + size)
+            lengths.append(ends - begins)
+            size += len(ids[-1])
+        words = plain + odd
+        self.start = np.concatenate([self.start, *starts])
+        self.length = np.concatenate([self.length, *lengths])
+        self.ids = np.concatenate([self.ids, *ids])
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         self.size += sum(map(len, words))
 
@@ -63,7 +77,7 @@ class WordEncoder:
         number = self.number
         new = set(words).difference(number)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         lengths = self.length[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -80,7 +94,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     _ENCODERS[path] = encoder
     for batch in batches:
         for first, last in slices(batch.column(1)):
-            texts = [(t or "").encode().split() for t in batch.column(1).slice(first, last - first).to_pylist()]
+            texts = [(t or "").encode() for t in batch.column(1).slice(first, last - first).to_pylist()]
+            texts = [(t.lower() if t.isascii() else t).split() for t in texts]  # the tokenizer lowers; earlier means fewer words to know
             rows = []
             for i, ids in enumerate(encoder.encode(texts)):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm.bpe import decode, encode
 from gaugewell.llm.classifier import held_out, labelled_sample
+from gaugewell.llm.embedding_dedup import near_vectors
 from gaugewell.llm.fingerprints import LEAF, SKETCH, edited_fingerprints
 from gaugewell.llm.ngram_join import jaccard_join
 from gaugewell.llm.packing import pack
@@ -145,3 +146,21 @@ FROM e JOIN own USING (doc_id) JOIN changed USING (doc_id) JOIN own nxt ON nxt.d
 @_query("op8_document_fingerprints", FINGERPRINT_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+n AS (SELECT x, count(*) AS c FROM links GROUP BY x)
+SELECT v.vec_id, CAST(coalesce(any_value(n.c), 0) AS BIGINT) AS n_links, min(r.y) AS component_id, min(r.y) = v.vec_id AS kept
+FROM v JOIN reach r ON v.vec_id = r.x LEFT JOIN n ON n.x = v.vec_id GROUP BY v.vec_id
+"""
+
+
+@_query("op5_embedding_near_dedup", EMBEDDING_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))

@@ -12,6 +12,7 @@ from gaugewell.llm.bpe import decode, encode
 from gaugewell.llm.classifier import held_out, labelled_sample
 from gaugewell.llm.embedding_dedup import near_vectors
 from gaugewell.llm.fingerprints import LEAF, SKETCH, edited_fingerprints
+from gaugewell.llm.html_extract import main_text
 from gaugewell.llm.ngram_join import jaccard_join
 from gaugewell.llm.packing import pack
 from gaugewell.llm.quality import fit as fit_quality
@@ -164,3 +165,8 @@ FROM v JOIN reach r ON v.vec_id = r.x LEFT JOIN n ON n.x = v.vec_id GROUP BY v.v
 @_query("op5_embedding_near_dedup", EMBEDDING_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op6_html_extraction")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))

@@ -145,7 +145,7 @@ def inputs(nodes: list[Node]) -> np.ndarray:
     for row, n in zip(out, nodes):
         if n.tag in _KIND:
             row[_KIND[n.tag]] = 1
-        row[-8:] = (min(2, sum(w in GOOD_WORDS for w in n.words)), min(2, sum(w in BAD_WORDS for w in n.words)), math.log1p(min(n.chars, 2000)) / 5,
+        row[-8:] = (min(2, sum(w in GOOD_WORDS for w in (*n.words, n.tag))), min(2, sum(w in BAD_WORDS for w in (*n.words, n.tag))), math.log1p(min(n.chars, 2000)) / 5,
                     n.linked / max(n.chars, 1), min(2.0, 50 * n.stops / max(n.chars, 1)), math.log1p(n.chars / max(n.blocks, 1)) / 5, n.chars == 0, 1)
     return out
 

@@ -29,13 +29,13 @@ def _labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, column: str) ->
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic (compression distance)."""
     model = toxicity.fit(_labelled(spark, docs, sf_dir, "toxic"))
-    return toxicity.score_toxicity(docs, model, carry=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
+    return toxicity.score_toxicity(docs, model, carry=COLUMNS[2:], keep_text=True).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts (hierarchical empirical Bayes over source and language)."""
     model = quality.fit(_labelled(spark, docs, sf_dir, "quality"))
-    return quality.score_quality(docs, model, carry=COLUMNS[1:]).where("accepted").select(*COLUMNS)
+    return quality.score_quality(docs, model, carry=COLUMNS[2:], keep_text=True).where("accepted").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.shared import cut
+from gaugewell.llm.shared import bounded_batches, cut
 
 CHUNK_CHARS, OVERLAP_CHARS, LOOK_AHEAD = 65_536, 512, 4
 CACHE_PIECES, BATCH_BYTES = 300_000, 8 << 20
@@ -138,7 +138,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     empty table gives an empty result.
     """
     use = {"path": path, "pattern": pattern}
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     short = source.where(F.char_length("text") <= chunk).mapInArrow(partial(_encode, **use), "id long, ids binary")
     long = source.where(F.char_length("text") > chunk).groupBy("id", F.xxhash64("text").alias("h"), "text").agg(F.count("*").alias("copies"))
     chunks = long.select("id", "h", "text").mapInArrow(partial(_chunks, chunk=chunk, overlap=overlap), "id long, h long, chunk int, last boolean, text string").repartition("id", "h", "chunk")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewell.llm.shared import bounded_batches
+
 # fixed values: elements of HTML by kind
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("head script style noscript template title iframe object svg math canvas audio video select".split())
@@ -272,7 +274,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty html give an empty text. Rows with null or repeated ids are read like any other; other columns are ignored. An
     empty table gives an empty result.
     """
-    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    source = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kinds = f"id {source.schema['id'].dataType.simpleString()}, url string, text string"
     found = source.mapInArrow(partial(_extract, model=model or default_model()), kinds)
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

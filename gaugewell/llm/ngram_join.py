@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.hashing import documents_words, mix, shingles
-from gaugewell.llm.shared import components, cut, small, stored
+from gaugewell.llm.shared import bounded_batches, components, cut, small, stored
 
 BLOCK_SHINGLES, BLOCK_SETS, LEAF, FANOUT, FRONTIER = 400_000, 2_000, 8, 8, 16_384
 _QUARTER = np.uint64(1 << 62)
@@ -251,7 +251,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     component and is kept. Other columns are ignored. An empty table gives an empty result.
     """
     missing = f"(n - floor(({num} * n + {den} - 1) / {den}))"  # shingles that a linked set may lack in its partner
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = stored(source.mapInArrow(partial(_sets, k=k, whole=False), _SET_SCHEMA).drop("tokens"))
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.max("n").alias("n"))
     able = f"{den} * n >= {num} * (n + 1)"  # smaller sets link with equal ones only

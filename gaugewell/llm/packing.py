@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.hashing import slices
-from gaugewell.llm.shared import stored
+from gaugewell.llm.shared import bounded_batches, stored
 
 PIECES_PER_PARTITION = 20_000
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 24 << 20
+CACHE_WORDS, CACHE_BYTES = 800_000, 20 << 20
 BLOCK_WORDS, MARK = 500, b"\x01"
 ROUNDS = 5
 
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     last one shorter. Rows with a null or repeated id are documents of their own. certified tells whether the partition that
     packed the piece met its lower bound. Other columns are ignored. An empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = stored(source.mapInArrow(partial(_pieces, path=tokenizer_path, capacity=capacity, end_id=end_id),
                                       "id long, piece int, start long, length long, crc long"))
     histogram = np.zeros(capacity + 1, np.int64)

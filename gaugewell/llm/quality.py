@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.llm.classifier import fit_logistic
 from gaugewell.llm.hashing import as_bytes, slices, word_hashes, word_spans
-from gaugewell.llm.shared import cut, small
+from gaugewell.llm.shared import bounded_batches, cut, small
 
 _KINDS = np.full(256, 7, np.int64)  # other bytes of longer characters
 _KINDS[:128] = 6  # symbols
@@ -55,10 +55,10 @@ def fit(rows: list[tuple[str | None, int]]) -> tuple[tuple[float, ...], float]:
     return tuple(weights), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
 
 
-def _probability(batches: Iterator[pa.RecordBatch], weights: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
+def _probability(batches: Iterator[pa.RecordBatch], weights: tuple[float, ...], keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         z = np.clip(measures(batch.column(batch.schema.get_field_index("text"))) @ np.array(weights), -30, 30)
-        kept = [c for c in batch.schema.names if c != "text"]
+        kept = [c for c in batch.schema.names if keep_text or c != "text"]
         yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(z)], names=[*kept, "z"])
 
 
@@ -74,19 +74,19 @@ def _strength(groups: DataFrame, parent: str) -> float:
 
 
 def score_quality(docs: DataFrame, model: tuple[tuple[float, ...], float], id_col: str = "doc_id", text_col: str = "text", host: str = "source",
-                  path: str = "lang", threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, evidence, host_quality, path_quality, quality (0 to 1), accepted (quality >= threshold), and carry.
+                  path: str = "lang", threshold: float = 0.5, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """One row per input row: id, evidence, host_quality, path_quality, quality (0 to 1), accepted (quality >= threshold), carry, and with
+    keep_text the text.
 
     host and path name columns; a path is counted within its host, and null is a host or path of its own. A null text is an empty one.
     Rows with null or repeated ids are scored like any other. Other columns are ignored. An empty table gives an empty result.
     """
     weights, prior = model
     names = [f"c{i}" for i in range(len(carry))]
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
                          F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), *[F.col(c).alias(n) for c, n in zip(carry, names)])
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "text") + ", z double"
-    # carried texts are a second column, so the text itself need not come back from Python
-    scored = source.mapInArrow(partial(_probability, weights=weights), shape)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if keep_text or f.name != "text") + ", z double"
+    scored = source.mapInArrow(partial(_probability, weights=weights, keep_text=keep_text), shape)
     scored = scored.withColumn("evidence", F.col("z") - F.lit(prior)).withColumn("p", F.expr("1 / (1 + exp(-z))"))
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
     paths = cut(paths)
@@ -102,4 +102,4 @@ def score_quality(docs: DataFrame, model: tuple[tuple[float, ...], float], id_co
     alone = F.least(F.greatest(alone, F.lit(1e-6)), F.lit(1 - 1e-6))
     quality = 1 / (1 + F.exp(-(F.col("evidence") + F.log(alone / (1 - alone)))))
     return out.select(F.col("id").alias(id_col), "evidence", "host_quality", alone.alias("path_quality"), quality.alias("quality"),
-                      (quality >= threshold).alias("accepted"), *[F.col(n).alias(c) for n, c in zip(names, carry)])
+                      (quality >= threshold).alias("accepted"), *[F.col(n).alias(c) for n, c in zip(names, carry)], *[F.col("text").alias(text_col)] * keep_text)

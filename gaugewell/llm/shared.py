@@ -16,6 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def bounded_batches(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """The table as it is; sets the session's Arrow batches to `rows` rows at most, since rows of text are large and batches are copied
+    between the JVM and Python several times."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Small intermediate tables: computed once and kept in the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.hashing import documents_words, sequence_hashes, slice_words
+from gaugewell.llm.shared import bounded_batches
 
 ANCHOR_WORDS = 8
 NO_ID = -(1 << 63)  # stands for a null id
@@ -121,7 +122,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     # the key of a text is never null: then both joins with the texts have the same input, and Spark shuffles the texts once
     names = [f"c{i}" for i in range(len(carry))]
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    source = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                          *[F.col(c).alias(n) for c, n in zip(carry, names)])
     source = source.withColumn("h", F.coalesce(F.xxhash64("text"), F.lit(0)))
     known = source.where(f"id <> {NO_ID}")

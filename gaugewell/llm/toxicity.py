@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.classifier import fit_logistic
+from gaugewell.llm.shared import bounded_batches
 
 GRID = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 COMMON_BYTES, END_BYTES, MARKED_BYTES, LEAST_EVIDENCE, SHORTEST = 48_000, 3_000, 1_500, 20.0, 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)).lower()
 
 
@@ -125,24 +126,26 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     return Model(model.common, model.toxic, model.ordinary, tuple(fit_logistic(_inputs(counts), np.array([k for _, k in rest], float))))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, keep_text: bool) -> Iterator[pa.RecordBatch]:
     measure = Distances(model)
     for batch in batches:
         at = batch.schema.get_field_index("text")
         counts = np.array([measure.counts(t.as_py()) for t in batch.column(at)]).reshape(-1, len(GRID) + 1)
         p = 1 / (1 + np.exp(-np.clip(_inputs(counts) @ np.array(model.weights), -30, 30)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
+        kept = [i for i, c in enumerate(batch.schema.names) if keep_text or i != at]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(p, pa.float64())], names=[*[batch.schema.names[i] for i in kept], "score"])
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7,
-                   carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id, score (0 to 1), predicted (1 from the threshold on), and the columns named in carry.
+                   carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """One row per input row: id, score (0 to 1), predicted (1 from the threshold on), the columns named in carry, and with keep_text the text.
 
     A null text counts as empty and, like a text without words, scores by the calibration of a document without windows. Rows
     with null or repeated ids are scored like any other. Other columns are ignored. An empty table gives an empty result.
     """
     names = [f"c{i}" for i in range(len(carry))]
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names)])
-    scored = source.mapInArrow(partial(_score, model=model), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema) + ", score double")
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names)])
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if keep_text or f.name != "text") + ", score double"
+    scored = source.mapInArrow(partial(_score, model=model, keep_text=keep_text), kinds)
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
-                         *[F.col(n).alias(c) for n, c in zip(names, carry)])
+                         *[F.col(n).alias(c) for n, c in zip(names, carry)], *[F.col("text").alias(text_col)] * keep_text)

@@ -13,6 +13,7 @@ from gaugewell.llm.classifier import held_out, labelled_sample
 from gaugewell.llm.embedding_dedup import near_vectors
 from gaugewell.llm.fingerprints import LEAF, SKETCH, edited_fingerprints
 from gaugewell.llm.html_extract import main_text
+from gaugewell.llm.lm_scoring import score_documents
 from gaugewell.llm.ngram_join import jaccard_join
 from gaugewell.llm.packing import pack
 from gaugewell.llm.quality import fit as fit_quality
@@ -170,3 +171,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_html_extraction")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
+
+
+@_query("op2_lm_scoring")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))

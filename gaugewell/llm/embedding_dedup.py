@@ -127,7 +127,7 @@ def _links(x: np.ndarray, a: np.ndarray, b: np.ndarray, bucket: np.ndarray, cosi
         lists = np.concatenate([buckets(x[used[i:i + 2048]], *seek) for i in range(0, len(used), 2048)])
         for first in range(0, len(at), 8192):
             part = at[first:first + 8192]
-            p, q = lists[place[first:first + 8192]], lists[place[len(at) + first:len(at) + first + len(part)]]
+            p, q = lists[place[first:first + len(part)]], lists[place[len(at) + first:len(at) + first + len(part)]]
             same = (p[:, :, None] == q[:, None, :]).any(2)
             near[part] = np.where(same, p, np.iinfo(np.int64).max).min(1) >= bucket[part]
     return near

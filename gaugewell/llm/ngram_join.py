@@ -263,9 +263,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 .where("cls = other").groupBy("cls").agg(F.count("*").alias("own")))
         open_classes = cut(open_classes.join(rare, "cls", "left").where(f"repeated or coalesce(own, 0) <= {missing}").drop("own"))
         wanted = source.join(small(open_classes.select(F.col("cls").alias("id")).distinct()), "id", "left_semi")
-    open_classes = open_classes.groupBy("cls").agg(F.min(F.struct("h1", "h2")).alias("d")).select("cls", "d.h1", "d.h2")
+    open_classes = cut(open_classes.groupBy("cls").agg(F.min(F.struct("h1", "h2")).alias("d")).select("cls", "d.h1", "d.h2"))
     whole = wanted.mapInArrow(partial(_sets, k=k, whole=True), _SET_SCHEMA)
-    nodes = stored(whole.join(open_classes.select(F.col("cls").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "n", "tokens"))
+    whole = whole.join(small(open_classes.select(F.col("cls").alias("id"), "h1", "h2")), ["id", "h1", "h2"], "left_semi").select("id", "n", "tokens")
+    nodes = stored(whole if repeated.isEmpty() else whole.dropDuplicates(["id"]))
     postings = nodes.select("id", "n", F.explode("tokens").alias("token"))
     common = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(common, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"))

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewell.llm.hashing import slices
+from gaugewell.llm.hashing import as_bytes, slices, word_hashes, word_spans
 from gaugewell.llm.shared import bounded_batches, stored
 
 PIECES_PER_PARTITION = 20_000
 CACHE_WORDS, CACHE_BYTES = 800_000, 20 << 20
 BLOCK_WORDS, MARK = 500, b"\x01"
 ROUNDS = 5
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class WordEncoder:
@@ -45,11 +47,12 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of words in order, and their numbers
         self.start, self.length, self.ids, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes new words in blocks, with a mark between them that is a token of its own; words that hold the mark go alone."""
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Encodes new words and gives their numbers: in blocks, with a mark between them that is a token of its own; words that hold
+        the mark go alone."""
         plain, blocks = [w for w in words if MARK not in w], []
         for i in range(0, len(plain), BLOCK_WORDS):
             blocks.append((b" " + MARK + b" ").join(plain[i:i + BLOCK_WORDS]).decode())
@@ -62,27 +65,38 @@ class WordEncoder:
             starts.append(begins + size)
             lengths.append(ends - begins)
             size += len(ids[-1])
-        words = plain + odd
+        numbers = np.empty(len(words), np.int64)
+        marked = np.array([MARK in w for w in words], bool)
+        numbers[np.concatenate([np.flatnonzero(~marked), np.flatnonzero(marked)])] = len(self.start) + np.arange(len(words))
         self.start = np.concatenate([self.start, *starts])
         self.length = np.concatenate([self.length, *lengths])
         self.ids = np.concatenate([self.ids, *ids])
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
         self.size += sum(map(len, words))
-
-    def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Ids of each text, given as its words."""
-        words = [w for t in texts for w in t]
-        if len(self.number) > CACHE_WORDS or self.size > CACHE_BYTES:
+        return numbers
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Words are told apart by 64-bit hashes; the distinct ones of the batch are looked up, new ones encoded."""
+        data, ends = as_bytes(texts)
+        if not len(data):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        # the tokenizer lowers letters; doing it first in plain ASCII texts leaves fewer words to know
+        plain = np.concatenate([[0], np.cumsum(data > 127)])[ends]
+        data = np.where(np.repeat(np.diff(plain) == 0, np.diff(ends)), _LOWER[data], data)
+        starts, stops = word_spans(data, ends)
+        distinct, first, inverse = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
+        if len(self.start) > CACHE_WORDS or self.size > CACHE_BYTES:
             self.forget()
-        number = self.number
-        new = set(words).difference(number)
-        if new:
-            self.learn(list(new))
-        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        place = np.searchsorted(self.known, distinct)
+        new = place == len(self.known)
+        new[~new] = self.known[place[~new]] != distinct[~new]
+        if new.any():
+            numbers = self.learn([data[s:e].tobytes() for s, e in zip(starts[first[new]].tolist(), stops[first[new]].tolist())])
+            self.known, self.number = np.insert(self.known, place[new], distinct[new]), np.insert(self.number, place[new], numbers)
+        at = self.number[np.searchsorted(self.known, distinct)][inverse]
         lengths = self.length[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], lengths)]
-        cuts = ends[np.cumsum([0] + [len(t) for t in texts])]
+        cuts = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.arange(cuts[-1]) + np.repeat(self.start[at] - cuts[:-1], lengths)]
+        cuts = cuts[np.searchsorted(starts, ends)]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
@@ -94,10 +108,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     _ENCODERS[path] = encoder
     for batch in batches:
         for first, last in slices(batch.column(1)):
-            texts = [(t or "").encode() for t in batch.column(1).slice(first, last - first).to_pylist()]
-            texts = [(t.lower() if t.isascii() else t).split() for t in texts]  # the tokenizer lowers; earlier means fewer words to know
             rows = []
-            for i, ids in enumerate(encoder.encode(texts)):
+            for i, ids in enumerate(encoder.encode(batch.column(1).slice(first, last - first))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 rows += [(first + i, p, s, min(capacity, len(ids) - s), zlib.crc32(ids[s:s + capacity])) for p, s in enumerate(range(0, len(ids), capacity))]
             at, piece, start, length, crc = zip(*rows)

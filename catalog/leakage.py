@@ -78,9 +78,9 @@ def _cuts(c: str, source: str) -> str:
 
 def _mi(c: str, label: str) -> str:
     bins = f"list_sum(list_transform(list_distinct({_cuts(c, 'm')}), lambda x: CASE WHEN m.{c} > x THEN 1 ELSE 0 END))"
-    return f"""SELECT '{c}' AS "column", round(greatest(0.0, ln(n) + (sxy - sx - sy) / n), 4) AS mutual_information, n AS rows_used FROM (
+    return f"""SELECT '{c}' AS "column", round(greatest(0.0, ln(n) + (sxy - sx - sy) / n - (nx - 1) * (ny - 1) / (2.0 * n)), 4) AS mutual_information, n AS rows_used FROM (
         WITH b AS (SELECT {bins} AS x, {label} AS y FROM m), j AS (SELECT x, y, count(*) AS c FROM b GROUP BY x, y)
-        SELECT (SELECT count(*) FROM b) AS n, (SELECT sum(c * ln(c)) FROM j) AS sxy, (SELECT sum(c * ln(c)) FROM (SELECT sum(c) AS c FROM j GROUP BY x)) AS sx,
+        SELECT (SELECT count(*) FROM b) AS n, (SELECT count(DISTINCT x) FROM b) AS nx, (SELECT count(*) FROM (SELECT DISTINCT y FROM b)) AS ny, (SELECT sum(c * ln(c)) FROM j) AS sxy, (SELECT sum(c * ln(c)) FROM (SELECT sum(c) AS c FROM j GROUP BY x)) AS sx,
         (SELECT sum(c * ln(c)) FROM (SELECT sum(c) AS c FROM j GROUP BY y)) AS sy)"""
 
 

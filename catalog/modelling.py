@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from catalog.registry import query, table, view, view_sql
 from gaugewell.functions.small import small_table
@@ -214,7 +214,7 @@ def model_leaderboard(spark, sf_dir):
 
 
 # Smaller forests than the library default keep the rows-only queries short; they train on whole tables.
-_FAST = models.Settings(trees=10, depth=5, cross_validate=False, max_iter=50)
+_FAST = models.Settings(trees=10, depth=5, max_iter=50)
 
 
 def _classifier(spark, sf_dir, only=None):
@@ -227,9 +227,8 @@ def _regressor(spark, sf_dir, only=None):
 
 
 def _folder(spark) -> str | None:
-    """A local run without a shared folder writes the trees to a fresh temporary one; a cluster names its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return None if named or not spark.sparkContext.master.startswith("local") else tempfile.mkdtemp(prefix="gaugewell-") + "/trees"
+    """The trees go to the shared folder that the session names; a session without one, as in tests, gets its own."""
+    return None if spark.conf.get("spark.checkpoint.dir", None) else f"/tmp/checkpoints/trees-{uuid.uuid4().hex}"
 
 
 @query()

@@ -11,8 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewell.sources.readers import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -33,10 +31,10 @@ _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table; a small one is spread over the cores and kept for the passes that follow."""
+    """A supplied table, read from its files by every pass."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
-        _TABLES[key] = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         _TABLES[key].createOrReplaceTempView(_view_name(sf_dir, name))
     return _TABLES[key]
 

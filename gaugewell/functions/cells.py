@@ -10,11 +10,6 @@ from pyspark.sql import Column, functions as F, types as T
 
 INF = float("inf")
 
-# Longer strings are grouped by a 128-bit digest so that a frequency shuffle
-# moves at most this many characters per cell.
-LONG_TEXT = 64
-DIGEST_MARK = "md5:"
-
 
 def qcol(name: str) -> Column:
     """Reference a column whose name may hold dots, spaces or backticks."""
@@ -71,11 +66,8 @@ def text(name: str, dtype: T.DataType) -> Column:
 
 
 def text_key(name: str, dtype: T.DataType) -> Column:
-    """Grouping key of a cell: its text, or a 128-bit digest when the text is long."""
-    t = text(name, dtype)
-    if type_group(dtype) in ("categorical", "unsupported"):
-        return F.when(F.length(t) > LONG_TEXT, F.concat(F.lit(DIGEST_MARK), F.md5(t))).otherwise(t)
-    return t
+    """Grouping key of a cell: its whole text, so that shown values and ties are those of the cells."""
+    return text(name, dtype)
 
 
 def percent(part: Column, whole: Column) -> Column:

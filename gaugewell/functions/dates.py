@@ -15,13 +15,11 @@ OTHER_SHAPES = {
     r"^\d{1,2} [A-Z][a-z]{2} \d{4}$": "d MMM yyyy",
 }
 DATE_SHAPE = "|".join(f"({p})" for p in [ISO_SHAPE, *OTHER_SHAPES])
-MAX_DATE_TEXT = 40
 
 
 def date_shaped(value: Column) -> Column:
-    """The trimmed cell has the outline of a date. Long texts are ruled out by length."""
-    t = F.trim(value)
-    return (F.length(t) <= MAX_DATE_TEXT) & t.rlike(DATE_SHAPE)
+    """The trimmed cell has the outline of a date."""
+    return F.trim(value).rlike(DATE_SHAPE)
 
 
 def parse_date(value: Column) -> Column:
@@ -31,8 +29,7 @@ def parse_date(value: Column) -> Column:
     match per cell and no failed parses.
     """
     t = F.trim(value)
-    parsed = F.when(F.length(t) > MAX_DATE_TEXT, F.lit(None).cast("timestamp")).when(
-        t.rlike(ISO_SHAPE), t.try_cast("timestamp"))
+    parsed = F.when(t.rlike(ISO_SHAPE), t.try_cast("timestamp"))
     for shape, fmt in OTHER_SHAPES.items():
         parsed = parsed.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
     return parsed

@@ -27,7 +27,7 @@ def normalise(name: Column) -> Column:
 
 def tokens(name: Column) -> Column:
     """Distinct non-empty word tokens of a column name."""
-    parts = F.split(normalise(name), r"_+|\W+")
+    parts = F.split(normalise(name), r"[^\p{L}\p{N}]+")
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 

@@ -21,7 +21,7 @@ SELECTION = {
     "weighted_f1": "f1_score", "f1_macro": "f1_macro", "macro_f1": "f1_macro", "accuracy": "accuracy",
     "balanced_accuracy": "balanced_accuracy", "precision": "precision_binary", "precision_binary": "precision_binary",
     "precision_weighted": "precision_weighted", "recall": "recall_binary", "recall_binary": "recall_binary",
-    "recall_weighted": "recall_weighted", "roc_auc": "roc_auc",
+    "recall_weighted": "recall_weighted", "roc_auc": "roc_auc", "roc_auc_ovr_weighted": "roc_auc_ovr_weighted",
 }
 
 SCORES_PER_BUCKET = 200_000  # distinct scores one window group may order

@@ -80,9 +80,6 @@ def gather(
         counted = [c for c in infos if c not in sketched]
         for name, f in stats.frequency_summary(df, counted, n_rows, rare_percent).items():
             found[name] |= f
-        long_cells = {n: [f.get("dominant_value")] for n, f in found.items() if f.get("dominant_count", 0) * 2 > n_rows}
-        for (name, _), whole in stats.restore_texts(df, long_cells).items():
-            found[name]["dominant_value"] = whole
         if sketched:
             medians = {c.name: found[c.name].get("median") for c in sketched}
             for name, f in stats.approximate_distinct(df, sketched, medians).items():

@@ -119,10 +119,11 @@ def _scores(predicted: DataFrame, problem_type: str, n_classes: int) -> DataFram
     return out
 
 
+# Metric by which folds are scored for a configured metric.
 _CV_SCORE = {"accuracy": "accuracy", "balanced_accuracy": "balanced_accuracy", "f1_macro": "f1_macro", "macro_f1": "f1_macro",
              "f1": "f1_binary", "f1_binary": "f1_binary", "precision": "precision_binary", "precision_binary": "precision_binary",
              "precision_weighted": "precision_weighted", "recall": "recall_binary", "recall_binary": "recall_binary",
-             "recall_weighted": "recall_weighted"}
+             "recall_weighted": "recall_weighted", "roc_auc": "roc_auc", "roc_auc_ovr_weighted": "roc_auc_ovr_weighted"}
 
 
 def cross_validate(train: DataFrame, estimator: Any, encoder: prep.FeatureEncoder, problem_type: str, n_classes: int, s: Settings, folds: int) -> list[dict[str, Any]]:

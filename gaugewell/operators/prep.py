@@ -250,9 +250,7 @@ class FeatureEncoder(Estimator):
                 known = labels.get(n, [])
                 fill = fills.get(n, self.categorical_constant).replace("\\", "\\\\").replace("'", "\\'")
                 cell = f"CAST({quote(n)} AS STRING)"
-                # The same key as in the category counts: long texts by digest.
-                key = f"CASE WHEN length({cell}) > {cells.LONG_TEXT} THEN concat('{cells.DIGEST_MARK}', md5({cell})) ELSE {cell} END"
-                value = f"coalesce({key}, '{fill}')"
+                value = f"coalesce({cell}, '{fill}')"
                 if INFREQUENT in known and self.max_categories > 1:
                     kept = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in known if k != INFREQUENT)
                     value = f"CASE WHEN {value} IN ({kept}) THEN {value} ELSE '{INFREQUENT}' END"

@@ -92,12 +92,8 @@ def top_values(df: DataFrame, columns: list[str], k: int = TOP_CATEGORIES) -> Da
     shown = best.where(F.col("position") <= k).select(
         "column", "position", "value", F.col("cnt").alias("count"), cells.percent(F.col("cnt"), total).alias("percent"))
     rows = [r.asDict() for r in shown.collect()]  # k rows per column
-    digests: dict[str, list[str]] = {}
     for r in rows:
-        digests.setdefault(r["column"], []).append(r["value"])
-    whole = stats.restore_texts(df, digests)
-    for r in rows:
-        r["value"] = MISSING_LABEL if r["value"] is None else whole.get((r["column"], r["value"]), r["value"])
+        r["value"] = MISSING_LABEL if r["value"] is None else r["value"]
     return small_table(
         df.sparkSession, rows, {"column": "string", "position": "long", "value": "string", "count": "long", "percent": "double"})
 

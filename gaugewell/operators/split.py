@@ -23,15 +23,19 @@ BROADCAST_ROWS = 100_000  # threshold rows that may be broadcast; checked before
 def hash_key(df: DataFrame, key: str | list[str] | None, seed: int) -> Column:
     """md5 of the key and the seed, followed by the key, as one sortable string.
 
-    Without a key the row digest is used; copies of a row then stay together.
+    A digest of the whole row and its place in the input follow, so rows that share a key, and copies of a row, take different
+    ranks and every quota is met exactly. Among copies of a row it does not matter which one is taken; the place is that of the
+    scan, so an input whose row order changes between passes should be written to a table first.
     """
     infos = columns_of(df)
+    row = F.concat_ws("/", *[h.cast("string") for h in cells.row_digest([(c.name, c.dtype) for c in infos])])
     if key is None:
-        ident = F.concat_ws("/", *[h.cast("string") for h in cells.row_digest([(c.name, c.dtype) for c in infos])])
+        ident = row
     else:
         names = [key] if isinstance(key, str) else key
         ident = F.concat_ws("/", *[cells.text(c.name, c.dtype) for n in names for c in infos if c.name == n])
-    return F.concat(F.md5(F.concat(ident, F.lit(f":{seed}"))), F.lit(":"), ident)
+    place = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+    return F.concat(F.md5(F.concat(ident, F.lit(f":{seed}"))), F.lit(":"), ident, F.lit(":"), F.md5(row), F.lit(":"), place)
 
 
 def _keyed(df: DataFrame, key, seed: int, stratum: str | None) -> DataFrame:

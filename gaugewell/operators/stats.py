@@ -40,12 +40,11 @@ TEXT_CLASSES = ["int", "float", "bool", "timestamp", "text"]
 def text_class(value: Column) -> Column:
     """Which literal a string cell holds: int, float, bool, timestamp or text."""
     t = F.trim(value)
-    short = F.length(t) <= dates.MAX_DATE_TEXT
     return (
         F.when(value.isNull(), F.lit(None))
-        .when(short & t.rlike(INT_SHAPE), "int")
-        .when(short & t.rlike(FLOAT_SHAPE), "float")
-        .when(short & F.lower(t).isin("true", "false"), "bool")
+        .when(t.rlike(INT_SHAPE), "int")
+        .when(t.rlike(FLOAT_SHAPE), "float")
+        .when(F.lower(t).isin("true", "false"), "bool")
         .when(dates.date_shaped(value), "timestamp")
         .otherwise("text")
     )
@@ -172,12 +171,13 @@ def scan(
 
 
 def fingerprints(df: DataFrame, columns: list[ColumnInfo]) -> dict[str, int]:
-    """An order-aware, mergeable hash per column.
+    """A mergeable hash per column that depends on which row holds which cell.
 
-    Every column of a row is hashed with the same row id, so equal columns get
-    equal fingerprints and no key column is needed.
+    Every column of a row is hashed with the same digest of the row's content, so
+    equal columns get equal fingerprints whatever the order of the rows is.
     """
-    source = df.select("*", F.monotonically_increasing_id().alias("__rid"))
+    digest = cells.row_digest([(f.name, f.dataType) for f in df.schema.fields])
+    source = df.select("*", digest[0].alias("__rid"))
     exprs = {}
     for c in columns:
         cell = cells.text(c.name, c.dtype) if c.group == "unsupported" else cells.present(c.name, c.dtype)
@@ -420,18 +420,6 @@ def frequency_summary(
     return found
 
 
-def restore_texts(df: DataFrame, digests: dict[str, list[str]]) -> dict[tuple[str, str], str]:
-    """Whole texts behind the digests of long cells, for the few cells a report shows."""
-    wanted = {n: [d for d in ds if d and d.startswith(cells.DIGEST_MARK)] for n, ds in digests.items()}
-    found: dict[tuple[str, str], str] = {}
-    for c in columns_of(df, [n for n, ds in wanted.items() if ds]):
-        body = cells.text(c.name, c.dtype)
-        key = cells.text_key(c.name, c.dtype)
-        rows = df.select(key.alias("k"), body.alias("t")).where(F.col("k").isin(wanted[c.name])).groupBy("k").agg(F.min("t").alias("t"))
-        found |= {(c.name, r["k"]): r["t"] for r in rows.collect()}
-    return found
-
-
 def approximate_distinct(df: DataFrame, columns: list[ColumnInfo], medians: dict[str, float | None]) -> dict[str, dict[str, Any]]:
     """Distinct counts of numeric columns from sketches, and the exact count of the only value that can dominate.
 

@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gaugewell.errors import AuditError
-from gaugewell.functions import cells
 from gaugewell.operators import split
 from gaugewell.operators.schema import check_structure
 
 PREVIEW_ROWS = 100_000
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Give a table with fewer input splits than cores one partition per core, and keep it for later passes.
-
-    Only a table of that few splits (each at most spark.sql.files.maxPartitionBytes)
-    is moved and kept; a large scan is returned as it is.
-    """
-    wanted = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted).persist() if df.rdd.getNumPartitions() < wanted else df
-
-
 def _header_names(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
     """Names on the first line, as written. The CSV reader itself renames repeated and blank ones."""
     first = spark.read.option("encoding", encoding).text(path).where("value <> ''").first()
@@ -37,15 +26,9 @@ def _header_names(spark: SparkSession, path: str, sep: str, encoding: str) -> li
     return names[: max((i + 1 for i, v in enumerate(row) if v is not None), default=1)] if '"' in line else names
 
 
-def has_bad_utf8(df: DataFrame) -> bool:
-    """True when a cell holds the replacement character that bad UTF-8 turns into."""
-    texts = [cells.qcol(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return False
-    hit = texts[0].contains("�")
-    for t in texts[1:]:
-        hit = hit | t.contains("�")
-    return not df.where(hit).limit(1).isEmpty()
+def has_bad_utf8(spark: SparkSession, path: str) -> bool:
+    """True when a line of the file is not UTF-8. Lines are tested as they lie in the file; a replacement character is good UTF-8."""
+    return not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
 
 
 def read_csv(
@@ -53,8 +36,8 @@ def read_csv(
 ) -> DataFrame:
     """Read a CSV with header. Types are inferred unless a schema is given.
 
-    Without an encoding, UTF-8 is tried first and ISO-8859-1 used when a cell
-    does not decode. Repeated and blank header names are errors.
+    Without an encoding, UTF-8 is tried first and ISO-8859-1 used when a line
+    is not UTF-8. Repeated and blank header names are errors.
     """
     def load(enc: str) -> DataFrame:
         reader = spark.read.option("header", True).option("sep", sep).option("encoding", enc)
@@ -69,7 +52,7 @@ def read_csv(
     if any(not n.strip() for n in names):
         raise AuditError("The CSV header has blank column names.")
     df = load(used)
-    if encoding is None and (any("�" in n for n in names) or has_bad_utf8(df)):
+    if encoding is None and has_bad_utf8(spark, path):
         df = load("ISO-8859-1")
     return check_structure(df)
 

@@ -4,30 +4,25 @@ from __future__ import annotations
 
 from catalog.profiling import pct
 from catalog.registry import ALL, NUMBERS, dirty, each, finite, query, table, view
-from gaugewell.functions.small import small_table
 from gaugewell.operators import leakage
 from pyspark.sql import functions as F
 
 TARGET = "l_returnflag"
 _WORDS = "target|label|outcome|result|final_result|prediction|predicted|actual|ground_truth|grade|score|rank|pass|fail|status|class|total"
-_TABLES = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    "labels": ["doc_id", "quality", "toxic"],
-    "forecast": ["actual_price", "forecast_price", "price", "final_price_total", "price_rank", "result", "total_price"],
-}
-_PAIRS = ", ".join(f"('{c}', '{t}')" for cs in _TABLES.values() for c in cs for t in cs if c != t)
+_NAMES = """SELECT p_partkey, concat(lower(p_type), CASE WHEN p_size > 40 THEN '_final_' WHEN p_size > 20 THEN ' ' ELSE '-' END, split_part(p_name, ' ', 2),
+    CASE WHEN p_size % 3 = 0 THEN '_result' WHEN p_size % 3 = 1 THEN '.Score' ELSE '' END) AS "column",
+    CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 2) ELSE concat(split_part(p_name, ' ', 1), '_', lower(p_type)) END AS target FROM part"""
 
 
-@query(f"""WITH p(c, t) AS (VALUES {_PAIRS}), k AS (SELECT *, list_filter(string_split(c, '_'), lambda x: x <> '') AS ct, list_filter(string_split(t, '_'), lambda x: x <> '') AS tt FROM p),
-    e AS (SELECT c, t, array_to_string(list_sort(list_distinct(list_filter(ct, lambda x: x IN ({', '.join("'" + w + "'" for w in _WORDS.split('|'))})))), ',') AS words,
+@query(f"""WITH p AS ({_NAMES}), n AS (SELECT *, translate(trim(lower("column")), '- .', '___') AS c, translate(trim(lower(target)), '- .', '___') AS t FROM p),
+    k AS (SELECT *, list_filter(string_split(c, '_'), lambda x: x <> '') AS ct, list_filter(string_split(t, '_'), lambda x: x <> '') AS tt FROM n),
+    e AS (SELECT p_partkey, "column", target, array_to_string(list_sort(list_distinct(list_filter(ct, lambda x: x IN ({', '.join("'" + w + "'" for w in _WORDS.split('|'))})))), ',') AS words,
         list_has_any(ct, tt) AS shared, ends_with(c, '_' || t) OR starts_with(c, t || '_') OR list_contains(ct, t) AS explicit FROM k)
-    SELECT c AS "column", t AS target, words AS matched_keywords, shared AS target_name_overlap, explicit AS explicit_target_relation FROM e WHERE words <> '' OR shared OR explicit""")
+    SELECT p_partkey, "column", target, words AS matched_keywords, shared AS target_name_overlap, explicit AS explicit_target_relation FROM e WHERE words <> '' OR shared OR explicit""")
 def leak_name(spark, sf_dir):
-    """Every column of the tables against every other one as the target."""
-    schemas = {t: table(spark, sf_dir, t).columns for t in ("lineitem", "orders", "labels")} | {"forecast": _TABLES["forecast"]}
-    rows = [{"column": c, "target": t} for cs in schemas.values() for c in cs for t in cs if c != t]
-    pairs = small_table(spark, rows, {"column": "string", "target": "string"})
+    """Names made of the words of every part, each against a target made of them."""
+    table(spark, sf_dir, "part").createOrReplaceTempView("named_parts")
+    pairs = spark.sql(_NAMES.replace('"column"', "`column`").replace("FROM part", "FROM named_parts"))
     return leakage.name_relations(pairs).withColumn("matched_keywords", F.array_join("matched_keywords", ","))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.registry import ALL, DOUBLES, GROUP, NUMBERS, STRINGS, dirty, each, finite, query, table, view
-from gaugewell.operators import facts, profile, stats
+from gaugewell.operators import facts, imbalance, profile, split, stats
 from gaugewell.sources import readers
 from pyspark.sql import functions as F
 
@@ -153,3 +153,26 @@ def duplicate_documents(spark, sf_dir):
     return stats.duplicate_row_count(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+@query("""SELECT CAST(row_number() OVER (ORDER BY n DESC, text) AS BIGINT) AS position, md5(text) AS text_md5, n AS count FROM (SELECT text, count(*) AS n FROM documents GROUP BY text)
+    ORDER BY n DESC, text LIMIT 10""")
+def top_texts(spark, sf_dir):
+    """The ten most frequent texts, ranked by the whole text; the digest is taken afterwards."""
+    top = profile.top_values(table(spark, sf_dir, "documents"), ["text"])
+    return top.select("position", F.md5("value").alias("text_md5"), "count")
+
+
+@query("""SELECT md5(repeat(concat(lang, '-', source, ' '), 12)) AS class_md5, count(*) AS count FROM documents GROUP BY lang, source""")
+def long_label_distribution(spark, sf_dir):
+    """Classes whose labels are over 64 characters long come out whole."""
+    df = table(spark, sf_dir, "documents").select(F.repeat(F.concat("lang", F.lit("-"), "source", F.lit(" ")), F.lit(12)).alias("label"))
+    return imbalance.class_distribution(df, "label").select(F.md5("class").alias("class_md5"), "count")
+
+
+@query("""SELECT 'sample' AS side, CAST(least(500, count(*)) AS BIGINT) AS rows FROM lineitem UNION ALL
+    SELECT 'test', CAST(ceil(count(*) * 0.2) AS BIGINT) FROM lineitem UNION ALL SELECT 'train', count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) FROM lineitem""")
+def exact_sizes_on_repeated_keys(spark, sf_dir):
+    """Sample and split of a table by a key that many rows share."""
+    df = table(spark, sf_dir, "lineitem")
+    sample = split.sample_rows(df, 500, "l_linenumber").agg(F.lit("sample").alias("side"), F.count(F.lit(1)).alias("rows"))
+    sides = split.train_test_split(df, "l_linenumber").groupBy(F.when(F.col("is_test"), "test").otherwise("train").alias("side")).agg(F.count(F.lit(1)).alias("rows"))
+    return sample.union(sides)

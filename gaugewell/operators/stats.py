@@ -423,17 +423,23 @@ def frequency_summary(
 def approximate_distinct(df: DataFrame, columns: list[ColumnInfo], medians: dict[str, float | None]) -> dict[str, dict[str, Any]]:
     """Distinct counts of numeric columns from sketches, and the exact count of the only value that can dominate.
 
-    A cell value that fills more than half of the values is their median, so the
-    near-constant check needs no shuffle of the values.
+    A cell value that fills more than half of the values is their median or an
+    infinity, so the near-constant check needs no shuffle of the values.
     """
     exprs = {c.name: cells.present(c.name, c.dtype).cast("double") for c in columns}
-    found = reduce_cells(df, exprs, {"n_distinct": "approx_count_distinct(x)", "gaps": "count_if(x IS NULL)"})
+    found = reduce_cells(df, exprs, {
+        "n_distinct": "approx_count_distinct(x)", "gaps": "count_if(x IS NULL)",
+        "plus": "count_if(x = double('infinity'))", "minus": "count_if(x = double('-infinity'))",
+    })
     hits = {n: e == F.lit(medians[n]) for n, e in exprs.items() if medians.get(n) is not None}
     counts = reduce_cells(df, hits, {"k": "count_if(x)"}) if hits else {}
     for name, entry in found.items():
-        k, gaps = counts.get(name, {"k": 0})["k"], entry.pop("gaps")
-        value = None if gaps > k or medians.get(name) is None else str(medians[name])
-        entry |= {"dominant_count": max(k, gaps), "dominant_value": value}
+        # most rows first, values before the gap, smaller values first
+        held = [(-entry.pop("plus"), False, float("inf"), "Infinity"), (-entry.pop("minus"), False, -float("inf"), "-Infinity"), (-entry.pop("gaps"), True, 0.0, None)]
+        if name in counts:
+            held.append((-counts[name]["k"], False, medians[name], str(medians[name])))
+        most = min(h for h in held if h[0] < 0 or h[1])
+        entry |= {"dominant_count": -most[0], "dominant_value": most[3]}
     return found
 
 

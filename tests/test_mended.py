@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewell.functions import names
 from gaugewell.operators import imbalance, leakage, profile, split, stats
+from gaugewell.operators.schema import columns_of
 from gaugewell.sources.readers import read_csv
 
 
@@ -57,3 +58,9 @@ def test_a_replacement_character_is_good_utf8(spark, tmp_path):
 def test_words_of_names_in_any_script(spark):
     df = spark.createDataFrame([("année", "durée")], "a string, b string")
     assert df.select(names.shares_token(F.col("a"), F.col("b"))).first()[0] is False
+
+
+def test_a_dominant_infinity_is_found_with_sketches(spark):
+    df = spark.range(100).select(F.when(F.col("id") < 97, float("inf")).otherwise(F.col("id").cast("double")).alias("x"), (F.col("id") % 2).alias("y"))
+    found = stats.approximate_distinct(df, [c for c in columns_of(df) if c.name == "x"], {"x": 98.0})
+    assert (found["x"]["dominant_count"], found["x"]["dominant_value"]) == (97, "Infinity")

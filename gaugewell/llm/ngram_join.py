@@ -259,7 +259,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_classes, wanted = classes.where(able).where("cls is not null").join(repeated, "cls", "left"), source
     for _ in range(2):  # the second time among those that are left, one of each class
         quarters = wanted.mapInArrow(partial(_sets, k=k, whole=False), _SET_SCHEMA).where(able).where("id is not null")
-        rare = (quarters.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("id").alias("cls"), F.max("id").alias("other"))
+        # 48 bits of a hash: two shingles that fall together only look less rare, and the shuffle is smaller
+        rare = (quarters.select("id", F.explode("tokens").alias("token")).groupBy(F.shiftright("token", 14).alias("token")).agg(F.min("id").alias("cls"), F.max("id").alias("other"))
                 .where("cls = other").groupBy("cls").agg(F.count("*").alias("own")))
         open_classes = cut(open_classes.join(rare, "cls", "left").where(f"repeated or coalesce(own, 0) <= {missing}").drop("own"))
         wanted = source.join(small(open_classes.select(F.col("cls").alias("id")).distinct()), "id", "left_semi")

@@ -40,7 +40,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
-    gone = cut(jaccard_join(docs, k=5, num=80, den=100).where("not kept").select("doc_id"))
+    gone = cut(jaccard_join(docs, k=5, num=80, den=100, links=False).where("not kept").select("doc_id"))
     return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 

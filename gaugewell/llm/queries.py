@@ -62,7 +62,7 @@ FROM sets s JOIN reach r ON s.doc_id = r.x GROUP BY s.doc_id, len(s.s)
 
 @_query("op1_ngram_jaccard_join", JACCARD_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_table(spark, sf_dir, "documents"))
+    return jaccard_join(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 SUBSTRING_SQL = rf"""

@@ -89,6 +89,28 @@ def test_jaccard_join_edges(texts):
     assert got == sorted(map(repr, [(None, 7, False), (7, 7, True), (7, 7, True), (None, None, True)]))
 
 
+@pytest.mark.parametrize("block", [(400_000, 2_000), (2_000, 8)])
+def test_jaccard_join_counts_every_link(texts, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block[0])
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block[1])
+    rng = random.Random(7)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(40):  # one group of mutually near texts, more than a block holds
+        x = list(base)
+        x[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(x)))
+    # a copy, a null id, and two different texts under one id
+    rows += [(90, rows[3][1]), (None, " ".join(base)), (91, " ".join(["y", *base])), (91, "one two three four five six"), (92, "one two three four five six")]
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for _, t in rows for w in [t.split()]]
+    want = [sum(i != j and 100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert sum(want) > 39 * 40
+    got = ngram_join.jaccard_join(texts(rows)).collect()
+    assert sorted((repr(r.doc_id), r.n_links) for r in got) == sorted((repr(i), n) for (i, _), n in zip(rows, want))
+    assert {r.component_id for r in got} == {0, 91}
+    alone = ngram_join.jaccard_join(texts(rows), links=False)
+    assert sorted(map(repr, alone.collect())) == sorted(repr(r) for r in ngram_join.jaccard_join(texts(rows)).drop("n_links").collect())
+
+
 def test_dual_traversal_links_are_verified():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 60, 300, dtype=np.uint64)

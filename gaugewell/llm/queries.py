@@ -175,4 +175,4 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op2_lm_scoring")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_table(spark, sf_dir, "documents"))
+    return score_documents(_table(spark, sf_dir, "documents"), order=3)

@@ -25,6 +25,7 @@ from gaugewell.llm.fingerprints import edited_fingerprints
 from gaugewell.llm.html_extract import default_model, extract, main_text
 from gaugewell.llm.quality import fit as fit_quality
 from gaugewell.llm.quality import score_quality
+from gaugewell.llm.queries import QUERIES
 from gaugewell.llm.shared import components
 from gaugewell.llm.substring_dedup import substring_dedup
 from gaugewell.llm.toxicity import fit as fit_toxicity
@@ -148,6 +149,13 @@ def test_lm_scores(texts, monkeypatch):
     assert lm_scoring.score_documents(texts([])).count() == 0
 
 
+def test_registered_lm_scores_use_trigrams(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["a b c"] * 3 + ["d b e"] * 3 + ["a b c", "a b e"])]  # the last two differ in trigrams only
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.log_score for r in QUERIES["op2_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got[6] > got[7] + 0.5
+
+
 @pytest.mark.parametrize("per_partition", [20_000, 30])
 def test_packing_against_the_tokenizer(texts, monkeypatch, per_partition):
     monkeypatch.setattr(packing, "PIECES_PER_PARTITION", per_partition)

@@ -20,6 +20,7 @@ import gaugewell.llm.embedding_dedup as embedding_dedup
 import gaugewell.llm.lm_scoring as lm_scoring
 import gaugewell.llm.ngram_join as ngram_join
 import gaugewell.llm.packing as packing
+import gaugewell.llm.toxicity as toxicity
 from gaugewell.llm.bpe import decode, encode
 from gaugewell.llm.fingerprints import edited_fingerprints
 from gaugewell.llm.html_extract import default_model, extract, main_text
@@ -210,6 +211,34 @@ def test_toxicity_on_held_out_rows(texts):
     assert score_toxicity(texts([]), model).count() == 0 and fit_toxicity([]).weights
 
 
+def test_toxicity_of_phrases_of_ordinary_words():
+    """Toxic and ordinary texts use the same short words equally often; toxic ones hold them in fixed phrases."""
+    rng, vocabulary = random.Random(5), [a + b for a in "bcdfglmn" for b in ("ae", "io", "ou", "ey", "ar", "un")]
+    phrases = [[rng.choice(vocabulary) for _ in range(5)] for _ in range(12)]
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            words = [w for _ in range(15) for w in rng.choice(phrases)]
+            if i % 2:
+                rng.shuffle(words)
+            out.append((" ".join(words), 1 - i % 2))
+        return out
+
+    model, held = fit_toxicity(rows(400)), rows(100)
+    measure = toxicity.Distances(model)
+    x = toxicity._inputs(np.array([measure.counts(t) for t, _ in held])) @ np.array(model.weights)
+    assert np.mean((x > 0) == [y for _, y in held]) > 0.95
+
+
+def test_toxicity_keeps_all_marked_words():
+    rng = random.Random(6)
+    marked = ["".join(rng.choice("bcdfgaeiou") for _ in range(9)) for _ in range(300)]  # more than 1,500 bytes
+    rows = [(" ".join(rng.sample(marked, 150) if i % 2 else [f"plain{rng.randrange(50)}" for _ in range(150)]), i % 2) for i in range(300)]
+    model = fit_toxicity(rows)
+    assert all(b" " + w.encode() + b" " in model.toxic for w in marked)
+
+
 def brute_links(vectors: list, cosine: float) -> list[tuple[int, int]]:
     good = [v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for v in vectors]
     unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if g else None for v, g in zip(vectors, good)]

@@ -19,8 +19,10 @@ from gaugewell.llm.packing import pack
 from gaugewell.llm.quality import fit as fit_quality
 from gaugewell.llm.quality import score_quality
 from gaugewell.llm.substring_dedup import substring_dedup
+from gaugewell.llm.topk_search import top_k
 from gaugewell.llm.toxicity import fit as fit_toxicity
 from gaugewell.llm.toxicity import score_toxicity
+from gaugewell.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,3 +178,23 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_lm_scoring")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), order=3)
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+@_query("op12_exact_top_k", TOP_K_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_embedding_whitening")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))

@@ -16,6 +16,7 @@ from gaugewell.llm.html_extract import main_text
 from gaugewell.llm.lm_scoring import score_documents
 from gaugewell.llm.ngram_join import jaccard_join
 from gaugewell.llm.packing import pack
+from gaugewell.llm.prefix_trie import prefix_trie
 from gaugewell.llm.quality import fit as fit_quality
 from gaugewell.llm.quality import score_quality
 from gaugewell.llm.substring_dedup import substring_dedup
@@ -198,3 +199,40 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_embedding_whitening")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+TRIE_SQL = """
+WITH own AS (
+  SELECT conv_id AS c, coalesce(text, '') AS text, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS dig,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, c - c % 5 AS base, n, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(s) + 1),
+    lambda i: [ascii(s[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, e: CASE WHEN e >= 0 THEN xor(x, e) WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295) % 9 AS h
+  FROM (SELECT c, count(*) AS n, CAST(c AS VARCHAR) AS s FROM own GROUP BY c)),
+heads AS (SELECT v.c, o.pos AS place, o.dig, o.text FROM convs v JOIN own o ON o.c = v.base AND o.pos < v.h),
+rebuilt AS (
+  SELECT c, place, dig, text FROM heads
+  UNION ALL SELECT o.c, o.pos + 1000000000, o.dig, o.text FROM own o JOIN convs v USING (c) WHERE o.pos >= v.h),
+placed AS (SELECT c, row_number() OVER w AS depth, md5(string_agg(dig, '') OVER w) AS k, strlen(text) AS size FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY place)),
+paths AS (SELECT c, 0 AS depth, '' AS k, 0 AS size FROM convs UNION ALL SELECT c, depth, k, size FROM placed),
+steps AS (SELECT *, lag(k) OVER w AS up, lead(k) OVER w IS NULL AS last FROM paths WINDOW w AS (PARTITION BY c ORDER BY depth)),
+nodes AS (
+  SELECT k, depth, any_value(up) AS up, min(c) AS least, count(*) AS n, any_value(size) AS size, bool_and(last) AS leaf,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends FROM steps GROUP BY k, depth),
+own_values AS (
+  SELECT s.c, s.depth, s.k, CASE WHEN n.least = s.c THEN (n.n - 1) * n.size ELSE 0 END AS saved, CASE WHEN n.least = s.c AND n.leaf THEN 1 ELSE 0 END AS leaf
+  FROM steps s JOIN nodes n USING (k, depth)),
+below AS (SELECT k, depth, sum(saved) OVER w AS saved, sum(leaf) OVER w AS leaf FROM own_values WINDOW w AS (PARTITION BY c ORDER BY depth DESC)),
+totals AS (SELECT k, depth, sum(saved) AS saved, sum(leaf) AS leaves FROM below GROUP BY k, depth),
+children AS (SELECT up AS k, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL)
+SELECT n.least AS conv_id, CAST(n.depth AS BIGINT) AS depth, p.least AS parent_conv_id, n.n AS n_convs, coalesce(ch.n, 0) AS n_children,
+  CAST(t.leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN totals t USING (k, depth) LEFT JOIN children ch USING (k, depth) LEFT JOIN nodes p ON p.k = n.up AND p.depth = n.depth - 1
+"""
+
+
+@_query("op11_prefix_trie", TRIE_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))

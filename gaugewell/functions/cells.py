@@ -70,6 +70,18 @@ def text_key(name: str, dtype: T.DataType) -> Column:
     return text(name, dtype)
 
 
+HEAD = 32  # characters of a text that are compared and shuffled as they are
+
+
+def text_digest(x: Column) -> list[Column]:
+    """(head, h1, h2): a text of up to HEAD characters is its head; a longer one has 128 bits of hashes besides. Null is all null."""
+    longer = F.char_length(x) > HEAD
+    return [
+        F.substring(x, 1, HEAD).alias("head"), F.when(longer, F.xxhash64(F.lit(17), x)).alias("h1"),
+        F.when(longer, F.xxhash64(F.lit(8191), x)).alias("h2"),
+    ]
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole rounded to two places; 0 when the whole is 0."""
     share = part.cast("double") * 100.0 / F.when(whole != 0, whole.cast("double"))

@@ -39,7 +39,7 @@ class Facts:
 
 
 def _outliers(df: DataFrame, infos: list[ColumnInfo], found: dict[str, dict[str, Any]], factor: float, least: int):
-    """Bounds from the exact quartiles, then one pass that counts cells outside them."""
+    """Bounds from the exact quartiles; cells outside them are counted in one pass where the pass for the quartiles could not."""
     dtypes = {c.name: c.dtype for c in infos}
     outside = {}
     for name, f in found.items():
@@ -47,6 +47,9 @@ def _outliers(df: DataFrame, infos: list[ColumnInfo], found: dict[str, dict[str,
             continue
         spread = f["q75"] - f["q25"]
         f["lower"], f["upper"] = f["q25"] - factor * spread, f["q75"] + factor * spread
+        if "n_outside" in f:
+            f["n_outliers"] = f.pop("n_outside")
+            continue
         x = cells.finite(name, dtypes[name])
         outside[name] = (x < f["lower"]) | (x > f["upper"])
     if outside:
@@ -62,22 +65,27 @@ def gather(
 
     numeric, infinite, labels, dates, classes come from one scan; quantiles add
     the exact quartiles, outliers the bounds and counts, frequency the distinct,
-    dominant and rare counts. With `exact_distinct` off, numeric columns other
-    than the target take their distinct count from a sketch and are not shuffled.
+    dominant and rare counts. With `exact_distinct` off, numeric and text columns
+    other than the target take their distinct count from a sketch and are not
+    shuffled; dominant texts come from a frequent-items sketch and an exact count.
     """
     infos = columns_of(df, only)
     sketched = [c for c in infos if c.group == "numeric" and c.name != target and not exact_distinct and "frequency" in need]
+    hinted = [c for c in infos if c.group == "categorical" and c.name != target and not exact_distinct and "frequency" in need]
     want = set(need) | ({"quantiles"} if "outliers" in need or sketched else set())
     n_rows, found = stats.scan(df, want, infos)
     if "quantiles" in want:
         numbers = {n: f for n, f in found.items() if f.get("n_valid")}
-        quartiles = stats.exact_quantiles(df, [0.25, 0.5, 0.75], numbers) if numbers else {}
+        quartiles = stats.exact_quantiles(df, [0.25, 0.5, 0.75], numbers, fence=iqr_multiplier if "outliers" in need else None) if numbers else {}
         for name, q in quartiles.items():
             found[name] |= dict(zip(("q25", "median", "q75"), q))
     if "outliers" in need:
         _outliers(df, infos, found, iqr_multiplier, outlier_min_values)
     if "frequency" in need:
-        counted = [c for c in infos if c not in sketched]
+        counted = [c for c in infos if c not in sketched and c not in hinted]
+        if hinted:
+            for name, f in stats.heavy_hitters(df, hinted, n_rows, rare_percent).items():
+                found[name] |= f
         for name, f in stats.frequency_summary(df, counted, n_rows, rare_percent).items():
             found[name] |= f
         if sketched:

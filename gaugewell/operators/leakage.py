@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -135,18 +136,12 @@ def correlation_risks(df: DataFrame, target: str, **limits) -> DataFrame:
     )
 
 
-def filled_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
+def filled_numeric(df: DataFrame, columns: list[str], medians: dict[str, float] | None = None) -> DataFrame:
     """Numeric columns with gaps and infinities set to the exact median; constant columns are dropped."""
     infos = [c for c in columns_of(df, columns) if c.group == "numeric"]
-    _, found = stats.scan(df, {"quantiles"}, infos, [0.5])
-    medians = stats.exact_quantiles(df, [0.5], {n: f for n, f in found.items() if f.get("n_valid")})
-    kept = []
-    for c in infos:
-        f = found[c.name]
-        fill = medians.get(c.name, [0.0])[0]
-        # Still varies after filling: two finite values, or one that differs from the fill.
-        if f.get("n_valid") and f["min"] != f["max"]:
-            kept.append(F.coalesce(cells.finite(c.name, c.dtype), F.lit(fill)).alias(c.name))
+    if medians is None:
+        medians, _ = stats.filled_quantiles(df, columns, [])
+    kept = [F.coalesce(cells.finite(c.name, c.dtype), F.lit(medians[c.name])).alias(c.name) for c in infos if c.name in medians]
     others = [cells.qcol(n) for n in df.columns if n not in set(columns)]
     return df.select(*others, *kept)
 
@@ -173,10 +168,6 @@ def mutual_information(df: DataFrame, target: str, bins: int = LIMITS["bins"], c
     if not features:
         return small_table(spark, [], schema)
     labelled = df.where(cells.present(target, t.dtype).isNotNull())
-    filled = filled_numeric(labelled, features)
-    kept = [n for n in features if n in filled.columns]
-    if not kept:
-        return small_table(spark, [], schema)
     probs = [i / bins for i in range(1, bins)]
     kind, label = "classification", cells.text_key(target, t.dtype)
     if t.group == "numeric":
@@ -185,33 +176,37 @@ def mutual_information(df: DataFrame, target: str, bins: int = LIMITS["bins"], c
             distinct = labelled.agg(F.count_distinct(cells.present(target, t.dtype)).alias("n")).first()["n"]
         if distinct > continuous:
             kind = "numeric"
-    wanted = kept + ([target] if kind == "numeric" else [])
-    cuts = stats.quantiles_of(filled.select(*[cells.qcol(n) for n in wanted]), wanted, probs)
+    wanted = features + ([target] if kind == "numeric" else [])
+    medians, cuts = stats.filled_quantiles(labelled, wanted, probs, unfilled=[target])
+    kept = [n for n in features if n in medians]
+    if not kept:
+        return small_table(spark, [], schema)
+    filled = filled_numeric(labelled, features, medians)
     if kind == "numeric":
-        middle = stats.quantiles_of(labelled.select(cells.qcol(target)), [target], [0.5])[target][0]
-        filled = filled.withColumn("__y", F.coalesce(cells.finite(target, t.dtype), F.lit(middle)))
+        filled = filled.withColumn("__y", F.coalesce(cells.finite(target, t.dtype), F.lit(medians[target])))
         label = _bins("__y", cuts[target]).cast("string")
     binned = filled.select(label.alias("y"), *[_bins(n, cuts[n]).alias(f"b{i}") for i, n in enumerate(kept)])
     joint = (
         binned.unpivot(["y"], [f"b{i}" for i in range(len(kept))], "pos", "bin")
         .groupBy("pos", "bin", "y").agg(F.count(F.lit(1)).alias("c"))
     )
-    # H(x) + H(y) - H(x, y) from sums of c*ln(c); the class counts are the same for every feature.
+    # H(x) + H(y) - H(x, y) from sums of c*ln(c). Every feature sees all rows, so the joint counts of the first one give the class counts.
     plogp = lambda c: F.sum(F.col(c) * F.ln(c))
-    per_bin = joint.groupBy("pos", "bin").agg(F.sum("c").alias("cx"), plogp("c").alias("sxy"))
-    per_column = per_bin.groupBy("pos").agg(
-        F.sum("cx").alias("n"), plogp("cx").alias("sx"), F.sum("sxy").alias("sxy"), F.count(F.lit(1)).alias("bins")
-    )
-    classes = binned.groupBy("y").agg(F.count(F.lit(1)).alias("cy"))
-    sy, n_classes = classes.agg(plogp("cy"), F.count(F.lit(1))).first()
-    sy = F.lit(sy)
-    n = F.col("n").cast("double")
-    score = F.ln(n) + (F.col("sxy") - F.col("sx") - sy) / n - (F.col("bins") - 1) * (n_classes - 1) / (2 * n)
-    return per_column.select(
-        F.element_at(F.array(*[F.lit(x) for x in kept]), F.substring("pos", 2, 9).cast("int") + 1).alias("column"),
-        F.greatest(F.lit(0.0), score).alias("mutual_information"), F.col("n").alias("rows_used"),
-        F.lit(kind).alias("target_kind"),
-    )
+    sides = joint.withColumn("of_class", F.when(F.col("pos") == "b0", F.col("c"))).groupingSets([["pos", "bin"], ["y"]], "pos", "bin", "y").agg(
+        F.sum("c").alias("cx"), plogp("c").alias("sxy"), F.sum("of_class").alias("cy"))
+    rows = {
+        r["pos"]: r for r in sides.groupBy("pos").agg(
+            F.sum("cx").alias("n"), plogp("cx").alias("sx"), F.sum("sxy").alias("sxy"), plogp("cy").alias("sy"), F.count(F.lit(1)).alias("groups")).collect()
+    }  # one row per feature, and one for the classes
+    if not rows:
+        return small_table(spark, [], schema)
+    sy, n_classes = rows[None]["sy"], rows[None]["groups"]
+    out = []
+    for i, name in enumerate(kept):
+        r = rows[f"b{i}"]
+        score = math.log(r["n"]) + (r["sxy"] - r["sx"] - sy) / r["n"] - (r["groups"] - 1) * (n_classes - 1) / (2 * r["n"])
+        out.append({"column": name, "mutual_information": max(0.0, score), "rows_used": r["n"], "target_kind": kind})
+    return small_table(spark, out, schema)
 
 
 def mutual_information_risks(df: DataFrame, target: str, **limits) -> DataFrame:

@@ -79,23 +79,14 @@ def infinite_counts(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str], k: int = TOP_CATEGORIES) -> DataFrame:
     """The k most frequent cells per column (null is a cell), ties by smallest value."""
-    infos = columns_of(df, columns)
-    freq = stats.value_frequency(df, infos)
-    # The k best per (column, hash slice) first, so that no task ranks a whole high-cardinality column.
-    order = [F.desc("cnt"), F.col("value").asc_nulls_last()]
-    sliced = freq.withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(256)))
-    local = sliced.withColumn("r", F.row_number().over(Window.partitionBy("column", "slice").orderBy(*order)))
-    best = local.where(F.col("r") <= k).withColumn(
-        "position", F.row_number().over(Window.partitionBy("column").orderBy(*order)).cast("long")
-    )
-    total = df.agg(F.count(F.lit(1))).scalar()
-    shown = best.where(F.col("position") <= k).select(
-        "column", "position", "value", F.col("cnt").alias("count"), cells.percent(F.col("cnt"), total).alias("percent"))
-    rows = [r.asDict() for r in shown.collect()]  # k rows per column
-    for r in rows:
-        r["value"] = MISSING_LABEL if r["value"] is None else r["value"]
-    return small_table(
-        df.sparkSession, rows, {"column": "string", "position": "long", "value": "string", "count": "long", "percent": "double"})
+    exprs = {c.name: cells.text_key(c.name, c.dtype) for c in columns_of(df, columns)}
+    total = df.count()
+    rows = [
+        {"column": name, "position": i + 1, "value": MISSING_LABEL if value is None else value, "count": cnt, "n": total}
+        for name, found in stats.top_cells(df, exprs, k).items() for i, (value, cnt) in enumerate(found)
+    ]
+    shown = small_table(df.sparkSession, rows, {"column": "string", "position": "long", "value": "string", "count": "long", "n": "long"})
+    return shown.select("column", "position", "value", "count", cells.percent(F.col("count"), F.col("n")).alias("percent"))
 
 
 def categorical_summary(df: DataFrame, facts: Facts | None = None, dates_found: list[str] | None = None) -> DataFrame:
@@ -148,6 +139,9 @@ def target_summary(df: DataFrame, target: str, facts: Facts | None = None) -> Da
 def sample_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """The k smallest distinct non-null values as text."""
     info = columns_of(df, [column])[0]
+    if info.group == "categorical":
+        rows = [{"column": column, "value": v} for v in stats.smallest_texts(df, cells.text_key(column, info.dtype), k)]
+        return small_table(df.sparkSession, rows, {"column": "string", "value": "string"})
     value = cells.present(column, info.dtype).alias("v")
     return (
         df.select(value).where("v IS NOT NULL").groupBy("v").agg(F.lit(1).alias("one"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gaugewell.errors import AuditError, TargetError
 from gaugewell.operators import profile, schema, stats
 from gaugewell.operators.facts import gather
+from gaugewell.operators.schema import columns_of
 
 
 def by(df, key="column"):
@@ -120,3 +121,67 @@ def test_sketched_distinct_counts_keep_the_dominant_value(spark):
         assert quick[name]["dominant_count"] == exact[name]["dominant_count"]
     assert quick["mostly"]["dominant_value"] == "7.0" and quick["gaps"]["dominant_value"] is None
     assert abs(quick["spread"]["n_distinct"] - 40) <= 4
+
+
+def _texts(spark):
+    """Long texts that share heads, repeat, tie in count and differ late; short ones; gaps."""
+    long = [f"{'https://example.org/a/common/path/'}{i:04d}" for i in range(300)]
+    rows = long + ["x" * 40 + "b"] * 3 + ["x" * 40 + "a"] * 3 + ["x" * 40 + "c"] * 4 + ["x" * 32] * 3 + ["short"] * 3 + [None] * 2 + [""] + long[250:252]
+    return spark.createDataFrame([(r, i % 7) for i, r in enumerate(rows)], "t string, n int"), rows
+
+
+def test_top_cells_read_ties_whole(spark):
+    df, rows = _texts(spark)
+    from collections import Counter
+
+    want = sorted(Counter(rows).items(), key=lambda v: (-v[1], v[0] is None, v[0] or ""))
+    for k in (2, 6, 12, 400):
+        for most in (10_000, 3)[k == 400:]:
+            got = stats.top_cells(df, {"t": F.col("t"), "n": F.col("n").cast("string")}, k, most)
+            assert got["t"] == want[:k]
+            assert got["n"][0][1] == max(Counter(i % 7 for i in range(len(rows))).values())
+    plain = sorted({r for r in rows if r is not None})
+    for k in (3, 400):
+        assert stats.smallest_texts(df, F.col("t"), k, 3) == plain[:k] == stats.smallest_texts(df, F.col("t"), k)
+
+
+def test_dominant_long_text_and_its_sketch(spark):
+    df, rows = _texts(spark)
+    found = stats.frequency_summary(df, [c for c in columns_of(df) if c.name == "t"], len(rows))["t"]
+    assert (found["n_distinct"], found["dominant_count"], found["dominant_value"]) == (306, 4, "x" * 40 + "c")
+    many = df.crossJoin(spark.range(3)).select("t").unionByName(spark.createDataFrame([("y" * 500,)] * 4000 + [("z" * 99,)] * 1500, "t string"))
+    info, n = columns_of(many), many.count()
+    exact, sketch = stats.frequency_summary(many, info, n)["t"], stats.heavy_hitters(many, info, n)["t"]
+    assert sketch["dominant_value"] == exact["dominant_value"] == "y" * 500 and sketch["dominant_count"] == exact["dominant_count"] == 4000
+    assert abs(sketch["n_distinct"] - exact["n_distinct"]) <= 0.04 * exact["n_distinct"]
+    assert sketch["n_distinct"] - sketch["n_rare"] == exact["n_distinct"] - exact["n_rare"] == 2
+    empty = stats.heavy_hitters(many.limit(0), info, 0)["t"]
+    assert (empty["n_distinct"], empty["dominant_count"], empty["dominant_value"], empty["n_rare"]) == (0, 0, None, 0)
+
+
+def test_quantiles_after_filling_without_filling(spark):
+    rows = [(float(i % 17) if i % 3 else None, float(i) if i % 5 else float("nan"), 2.0, None if i % 2 else float(i % 4), i) for i in range(61)]
+    df = spark.createDataFrame(rows, "a double, b double, same double, c double, full int")
+    probs = [i / 10 for i in range(1, 10)]
+    medians, cuts = stats.filled_quantiles(df, df.columns, probs, unfilled=["b"])
+    assert set(medians) == {"a", "b", "c", "full"}
+    for i, name in enumerate(df.columns):
+        if name == "same":
+            continue
+        own = sorted(r[i] for r in rows if r[i] is not None and r[i] == r[i])
+        at = lambda v, p: v[int((len(v) - 1) * p)] + (v[min(int((len(v) - 1) * p) + 1, len(v) - 1)] - v[int((len(v) - 1) * p)]) * ((len(v) - 1) * p % 1)
+        assert medians[name] == pytest.approx(at(own, 0.5))
+        whole = sorted(own + ([] if name == "b" else [medians[name]] * (len(rows) - len(own))))
+        assert cuts[name] == pytest.approx([at(whole, p) for p in probs])
+
+
+def test_outliers_in_the_pass_of_the_quartiles(spark):
+    df = spark.range(5000).select((F.sin("id") * F.col("id") + F.when(F.col("id") % 400 == 0, 9e4).otherwise(0)).alias("x"), F.when(F.col("id") % 50 == 0, 1e6).otherwise(F.col("id") % 7).alias("y"), F.lit(1.0).alias("same"))
+    _, found = stats.scan(df, {"quantiles"})
+    apart = {k: dict(v) for k, v in found.items()}
+    q = stats.exact_quantiles(df, [0.25, 0.5, 0.75], found, fence=1.5)
+    assert stats.exact_quantiles(df, [0.25, 0.5, 0.75], apart, limit=5, fence=1.5) == q and "n_outside" not in apart["x"]
+    for name in ("x", "y"):
+        low, high = q[name][0] - 1.5 * (q[name][2] - q[name][0]), q[name][2] + 1.5 * (q[name][2] - q[name][0])
+        assert found[name]["n_outside"] == df.where((F.col(name) < low) | (F.col(name) > high)).count() > 0
+    assert "n_outside" not in found["same"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewell.llm.hashing import documents_words, mix, shingles
-from gaugewell.llm.shared import bounded_batches, components, cut, small, stored
+from gaugewell.llm.shared import bounded_batches, components, cut, release, small, stored
 
 BLOCK_SHINGLES, BLOCK_SETS, LEAF, FANOUT, FRONTIER = 400_000, 2_000, 8, 8, 16_384
 _QUARTER = np.uint64(1 << 62)
@@ -348,6 +348,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     family = components(prefix.join(first, "token").select("a", F.col("id").alias("b")))
     members = nodes.join(family.select(F.col("node").alias("id"), F.col("component").alias("family")), "id")
     members = stored(members.mapInArrow(_binary, "family long, id long, n long, copies long, tokens binary"))
+    release(nodes)
     found = _links(members, num, den, links)
     roots = components(found.select("a", "b")).select("node", F.col("component").alias("root")).join(classes.select("node", "first"), "node")
     least = roots.groupBy("root").agg(F.min("first").alias("found"))

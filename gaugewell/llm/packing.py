@@ -35,6 +35,7 @@ class WordEncoder:
     """Encodes texts word by word with a memory of words, which is emptied when it is full.
 
     The tokenizer drops white space and no token or normalisation reaches across it, so the ids of a text are the ids of its words.
+    Texts are encoded as by the library's plain call, which gives the strings of special tokens their ids.
     """
 
     def __init__(self, path: str):
@@ -42,7 +43,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.forget()
 
@@ -79,8 +79,11 @@ class WordEncoder:
         data, ends = as_bytes(texts)
         if not len(data):
             return [np.zeros(0, np.uint32)] * len(texts)
-        # the tokenizer lowers letters; doing it first in plain ASCII texts leaves fewer words to know
-        plain = np.concatenate([[0], np.cumsum(data > 127)])[ends]
+        # the tokenizer lowers letters; doing it first in plain ASCII texts leaves fewer words to know. It looks for special tokens
+        # before that, so texts that may hold one (`<|`) stay as they are.
+        odd = data > 127
+        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+        plain = np.concatenate([[0], np.cumsum(odd)])[ends]
         data = np.where(np.repeat(np.diff(plain) == 0, np.diff(ends)), _LOWER[data], data)
         starts, stops = word_spans(data, ends)
         distinct, first, inverse = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)

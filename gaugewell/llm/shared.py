@@ -32,13 +32,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Larger intermediate tables: the same as Parquet, which is read column by column. Files stay in the shared scratch folder."""
+    """Larger intermediate tables: the same as Parquet, which is read column by column. Files stay in the shared folder until released."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gaugewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a `stored` table that nothing reads any more: what was made of it has been written."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/gaugewell-" in path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A checkpointed table of a few numbers a row, hinted for a broadcast join if it has at most `most` rows; else joined by shuffle."""
     return F.broadcast(df) if df.count() <= most else df

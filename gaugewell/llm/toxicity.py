@@ -31,7 +31,7 @@ from gaugewell.llm.shared import bounded_batches
 
 GRID = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 COMMON_BYTES, END_BYTES, LEAST_EVIDENCE, SHORTEST = 48_000, 3_000, 20.0, 4
-WINDOW, STEP, SAVED, TRAINED_BYTES = 4, 2, tuple(range(-1, 7)), 100_000
+WINDOW, STEP, SAVED, TRAINED_BYTES = 10, 6, tuple(range(-1, 7)), 100_000
 CACHE_WORDS = 250_000
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)).lower()
 

@@ -164,7 +164,8 @@ def test_packing_against_the_tokenizer(texts, monkeypatch, per_partition):
     rows = copies(3, 40) + [(900, "it's <|endoftext|> \x01 H̱ é 日本 123 %%%!!"), (None, "one"), (901, "long " * 3000), (900, "again")]
     got = packing.pack(texts(rows), path, capacity=256).toPandas()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    rows += [(902, "it<|endoftext|>is <|ENDOFTEXT|> <|StartOfText|> A<|startoftext|>"), (903, "plain <| words |> ABC"), (904, "é<|endoftext|>É")]
+    got = packing.pack(texts(rows), path, capacity=256).toPandas()
     want = []
     for i, t in rows:
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog.profiling import pct
-from catalog.registry import ALL, NUMBERS, dirty, each, finite, query, table, view
+from catalog.registry import ALL, NUMBERS, _view_name, dirty, each, finite, query, table, view
 from gaugewell.operators import leakage
 from pyspark.sql import functions as F
 
@@ -187,3 +187,44 @@ def leak_overall(spark, sf_dir):
     UNION SELECT 10 FROM risks WHERE risk_type = 'high_correlation_risk' UNION SELECT 11 FROM risks WHERE risk_type LIKE '%mutual_information_risk' UNION SELECT 12 FROM risks WHERE risk_type = 'high_cardinality_identifier_risk')""")
 def leak_actions(spark, sf_dir):
     return leakage.recommended_actions(_all_risks(spark, sf_dir)).select("position")
+
+
+_CUSTOMERS = """SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_custkey % 7 AS week,
+    CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 AND c_nationkey < 12 THEN 'small' WHEN c_custkey = 5 THEN 'alone' WHEN c_custkey % 13 = 0 THEN NULL ELSE c_mktsegment END AS standing
+    FROM customer"""
+
+
+def _digamma(n: str) -> str:
+    y = f"(1.0::DOUBLE / (({n} + 6.0::DOUBLE) * ({n} + 6.0::DOUBLE)))"
+    steps = " - ".join(f"1.0::DOUBLE / ({n} + {i}.0::DOUBLE)" for i in range(6))
+    return f"(ln({n} + 6.0::DOUBLE) - 0.5 / ({n} + 6.0::DOUBLE) - {y} / 12 + {y} * {y} / 120 - {y} * {y} * {y} / 252 + {y} * {y} * {y} * {y} / 240 - {steps})"
+
+
+# every row against every other: distances to the rows of the class, then the rows inside the interval
+_NEIGHBOURS = f"""WITH d AS (SELECT * FROM ({_CUSTOMERS}) WHERE standing IS NOT NULL),
+    w AS (SELECT c_custkey AS id, standing AS y, c_custkey::DOUBLE AS c_custkey, c_nationkey::DOUBLE AS c_nationkey, week::DOUBLE AS week,
+        coalesce(c_acctbal, (SELECT median(c_acctbal) FROM d)) AS c_acctbal FROM d),
+    f AS (SELECT * FROM (UNPIVOT w ON c_custkey, c_nationkey, week, c_acctbal INTO NAME pos VALUE v) WHERE y IN (SELECT standing FROM d GROUP BY 1 HAVING count(*) > 1)),
+    near AS (SELECT a.id, a.pos, a.y, a.v, count(*) + 1 AS n_y, list_last(min(abs(a.v - b.v), 3)) AS r FROM f a JOIN f b ON a.pos = b.pos AND a.y = b.y AND a.id <> b.id GROUP BY ALL),
+    m AS (SELECT a.id, a.pos, a.n_y, count(*) AS m, count(*) FILTER (WHERE a.y = b.y) AS k_own FROM near a JOIN f b ON a.pos = b.pos
+        AND ((r > 0 AND b.v > a.v - r AND b.v < a.v + r) OR (r = 0 AND b.v = a.v)) GROUP BY ALL),
+    mi AS (SELECT pos AS "column", greatest(0.0, {_digamma('count(*)')} + avg({_digamma('k_own')} - {_digamma('n_y')} - {_digamma('m')})) AS mi, count(*) AS n FROM m GROUP BY pos)"""
+
+
+def _customers(spark, sf_dir):
+    table(spark, sf_dir, "customer")
+    return spark.sql(_CUSTOMERS.replace("FROM customer", f"FROM {_view_name(sf_dir, 'customer')}"))
+
+
+@query(f"""{_NEIGHBOURS} SELECT "column", round(mi, 6) AS mutual_information, n AS rows_used, 'classification' AS target_kind FROM mi""")
+def neighbour_information(spark, sf_dir):
+    """Nearest-neighbour mutual information of customer features with a class that follows from some of them."""
+    out = leakage.neighbour_information(_customers(spark, sf_dir), "standing")
+    return out.withColumn("mutual_information", F.round("mutual_information", 6))
+
+
+@query(f"""{_NEIGHBOURS} SELECT "column", 'classification_target_mutual_information_risk' AS risk_type, 'medium' AS risk_level, round(mi, 4) AS mutual_information FROM mi WHERE mi >= 0.2""")
+def leak_neighbours(spark, sf_dir):
+    """The risk rule on top of the nearest-neighbour estimate."""
+    out = leakage.mutual_information_risks(_customers(spark, sf_dir), "standing", estimator="neighbours")
+    return out.select("column", "risk_type", "risk_level", F.col("evidence")["mutual_information"].cast("double").alias("mutual_information"))

@@ -11,6 +11,7 @@ from gaugewell.functions import cells, names
 from gaugewell.functions.small import small_table
 from gaugewell.operators import facts as facts_mod, stats
 from gaugewell.operators.facts import Facts
+from gaugewell.operators.neighbours import neighbour_information
 from gaugewell.operators.schema import ColumnInfo, check_structure, columns_of, validate_target
 
 # Risk levels in order.
@@ -19,7 +20,7 @@ LEVELS = ["critical", "high", "medium", "low"]
 LIMITS = {
     "duplicate_share": 0.95, "correlation": 0.90, "correlation_high": 0.98, "mutual_information": 0.20,
     "separation": 0.75, "min_rows": 10, "max_classes": 50, "id_unique": 95.0, "cardinality": 50,
-    "continuous_target": 20, "bins": 10,
+    "continuous_target": 20, "bins": 10, "estimator": "bins",
 }
 
 RISK_SCHEMA = {"column": "string", "risk_type": "string", "risk_level": "string", "reason": "string", "evidence": "map"}
@@ -140,7 +141,7 @@ def filled_numeric(df: DataFrame, columns: list[str], medians: dict[str, float]
     """Numeric columns with gaps and infinities set to the exact median; constant columns are dropped."""
     infos = [c for c in columns_of(df, columns) if c.group == "numeric"]
     if medians is None:
-        medians, _ = stats.filled_quantiles(df, columns, [])
+        medians, _, _ = stats.filled_quantiles(df, columns, [])
     kept = [F.coalesce(cells.finite(c.name, c.dtype), F.lit(medians[c.name])).alias(c.name) for c in infos if c.name in medians]
     others = [cells.qcol(n) for n in df.columns if n not in set(columns)]
     return df.select(*others, *kept)
@@ -177,7 +178,7 @@ def mutual_information(df: DataFrame, target: str, bins: int = LIMITS["bins"], c
         if distinct > continuous:
             kind = "numeric"
     wanted = features + ([target] if kind == "numeric" else [])
-    medians, cuts = stats.filled_quantiles(labelled, wanted, probs, unfilled=[target])
+    medians, cuts, _ = stats.filled_quantiles(labelled, wanted, probs, unfilled=[target])
     kept = [n for n in features if n in medians]
     if not kept:
         return small_table(spark, [], schema)
@@ -210,10 +211,11 @@ def mutual_information(df: DataFrame, target: str, bins: int = LIMITS["bins"], c
 
 
 def mutual_information_risks(df: DataFrame, target: str, **limits) -> DataFrame:
+    """Features that tell at least `mutual_information` nats; with estimator="neighbours" a class target is judged by nearest neighbours."""
     k = LIMITS | limits
-    flagged = mutual_information(df, target, k["bins"], k["continuous_target"]).where(
-        F.col("mutual_information") >= k["mutual_information"]
-    ).withColumn("mutual_information", F.round("mutual_information", 4))
+    classes = columns_of(df, [target])[0].group != "numeric"
+    scores = neighbour_information(df, target) if k["estimator"] == "neighbours" and classes else mutual_information(df, target, k["bins"], k["continuous_target"])
+    flagged = scores.where(F.col("mutual_information") >= k["mutual_information"]).withColumn("mutual_information", F.round("mutual_information", 4))
     kind = F.concat("target_kind", F.lit("_target_mutual_information_risk"))
     return _risk_rows(
         flagged, kind, "medium", "The column tells much about the target.", ["mutual_information", "rows_used"]

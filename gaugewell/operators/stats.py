@@ -440,8 +440,9 @@ def quantiles_of(df: DataFrame, names: list[str], probs: list[float]) -> dict[st
 
 def filled_quantiles(
     df: DataFrame, names: list[str], probs: list[float], unfilled: list[str] = ()
-) -> tuple[dict[str, float], dict[str, list[float]]]:
-    """(median, quantiles after gaps are filled with it) per numeric column with two finite values or more, in two scans.
+) -> tuple[dict[str, float], dict[str, list[float]], dict[str, list[float]]]:
+    """(median, quantiles after gaps are filled with it, approximate quantiles at GRID) per numeric column with two finite values
+    or more, in two scans.
 
     The column with m fills of the median M is never made: its value at rank r is the column's own at r if that lies below M, the own
     one at r - m if that lies above M, and M otherwise. Columns in `unfilled` give the quantiles of their finite cells.
@@ -464,7 +465,8 @@ def filled_quantiles(
             return own
         return above if above is not None and above > medians[n] else medians[n]
 
-    return medians, {n: [_between(at(n, low), at(n, high), w) for low, high, w in sides[n]] for n in found}
+    quantiles = {n: [_between(at(n, low), at(n, high), w) for low, high, w in sides[n]] for n in found}
+    return medians, quantiles, {n: s["brackets"] for n, s in found.items()}
 
 
 # --------------------------------------------------------------------------- frequencies

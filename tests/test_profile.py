@@ -163,7 +163,7 @@ def test_quantiles_after_filling_without_filling(spark):
     rows = [(float(i % 17) if i % 3 else None, float(i) if i % 5 else float("nan"), 2.0, None if i % 2 else float(i % 4), i) for i in range(61)]
     df = spark.createDataFrame(rows, "a double, b double, same double, c double, full int")
     probs = [i / 10 for i in range(1, 10)]
-    medians, cuts = stats.filled_quantiles(df, df.columns, probs, unfilled=["b"])
+    medians, cuts, _ = stats.filled_quantiles(df, df.columns, probs, unfilled=["b"])
     assert set(medians) == {"a", "b", "c", "full"}
     for i, name in enumerate(df.columns):
         if name == "same":

@@ -106,3 +106,39 @@ def test_mutual_information_bounds(spark):
     df = spark.range(400).select((F.col("id") % 2).cast("string").alias("t"), ((F.col("id") % 2) * 10 + (F.col("id") % 3)).alias("x"), F.lit(1).alias("k"))
     r = {x["column"]: x["mutual_information"] for x in leakage.mutual_information(df, "t").collect()}
     assert set(r) == {"x"} and r["x"] == pytest.approx(0.6931 - 5 / 800, abs=2e-3)  # six bins, two classes
+
+
+@pytest.mark.parametrize("rows_per_cell", [1, None])
+def test_neighbour_information_against_every_pair(spark, rows_per_cell):
+    import math
+    import random
+
+    from gaugewell.operators.neighbours import digamma, neighbour_information
+
+    rng, rows = random.Random(6), []
+    for i in range(260):
+        y = "abc"[i % 3] if i % 40 else ("rare" if i else "alone")
+        x = rng.gauss(i % 3, 0.7)
+        rows.append((y if i % 50 != 7 else None, None if i % 17 == 3 else x, float(rng.randrange(6)), float("inf") if i == 9 else round(x, 1), 5.0, "ab".index(y) if y in "ab" else 2))
+    df = spark.createDataFrame(rows, "y string, x double, ties double, `near ties` double, same double, code int")
+    found = {r["column"]: r for r in neighbour_information(df, "y", 3, rows_per_cell).collect()}
+    assert set(found) == {"x", "ties", "near ties", "code"}
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    got = spark.range(1, 40).select("id", digamma(F.col("id")).alias("d")).collect()
+    assert all(abs(r["d"] - psi(r["id"])) < 1e-9 for r in got)
+    labelled = [r for r in rows if r[0] is not None]
+    sizes = {y: sum(r[0] == y for r in labelled) for y in {r[0] for r in labelled}}
+    for i, name in enumerate(df.columns[1:], 1):
+        if name == "same":
+            continue
+        own = sorted(r[i] for r in labelled if r[i] is not None and math.isfinite(r[i]))
+        middle = (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2
+        points = [(r[0], r[i] if r[i] is not None and math.isfinite(r[i]) else middle) for r in labelled if sizes[r[0]] > 1]
+        total = 0.0
+        for a, (y, v) in enumerate(points):
+            r = sorted(abs(v - u) for b, (z, u) in enumerate(points) if z == y and b != a)[:3][-1]
+            inside = [z for z, u in points if (v - r < u < v + r if r else u == v)]
+            total += psi(inside.count(y)) - psi(sizes[y]) - psi(len(inside))
+        assert found[name]["rows_used"] == len(points)
+        assert found[name]["mutual_information"] == pytest.approx(max(0.0, psi(len(points)) + total / len(points)), abs=1e-7)
+    assert neighbour_information(df.limit(0), "y").count() == 0

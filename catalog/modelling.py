@@ -6,7 +6,7 @@ import uuid
 
 from catalog.registry import query, table, view, view_sql
 from gaugewell.functions.small import small_table
-from gaugewell.operators import evaluate, explain, models, prep, split
+from gaugewell.operators import evaluate, explain, folds, models, prep, split
 from pyspark.sql import functions as F
 
 _H = "md5(CAST({k} AS VARCHAR) || ':42'), CAST({k} AS VARCHAR)"
@@ -110,6 +110,30 @@ def cv_folds(spark, sf_dir):
     return split.assign_folds(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus", 5).select("o_orderkey", "fold")
 
 
+_GAPPY = "SELECT o_orderkey, o_orderstatus, actual_price, forecast_price, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey + 3 * forecast_price END AS drifting FROM ({view})"
+_RMSE = "SELECT '{name}' AS features, k, sqrt(avg((y - ({prediction})) * (y - ({prediction})))) AS rmse FROM x JOIN fit USING (k) WHERE fold = k GROUP BY k"
+
+
+@query(f"""WITH v AS ({_GAPPY.format(view=view_sql('forecast_orders'))}), f AS (SELECT *, ntile(5) OVER (PARTITION BY o_orderstatus ORDER BY {_H.format(k='o_orderkey')}) - 1 AS fold FROM v),
+    med AS (SELECT k, median(drifting) AS m FROM f JOIN (SELECT unnest(range(5)) AS k) ON fold <> k GROUP BY k),
+    x AS (SELECT k, fold, CAST(actual_price AS DOUBLE) AS y, CAST(forecast_price AS DOUBLE) AS a, CAST(coalesce(drifting, m) AS DOUBLE) AS b FROM f CROSS JOIN med),
+    fit AS (SELECT k, regr_slope(y, a) AS sa, regr_intercept(y, a) AS ia, regr_slope(y, b) AS sb, regr_intercept(y, b) AS ib, avg(y) AS my, avg(a) AS ma, avg(b) AS mb,
+        (regr_sxy(y, a) * regr_sxx(y, b) - regr_sxy(y, b) * regr_sxy(a, b)) / (regr_sxx(y, a) * regr_sxx(y, b) - regr_sxy(a, b) * regr_sxy(a, b)) AS pa,
+        (regr_sxy(y, b) * regr_sxx(y, a) - regr_sxy(y, a) * regr_sxy(a, b)) / (regr_sxx(y, a) * regr_sxx(y, b) - regr_sxy(a, b) * regr_sxy(a, b)) AS pb FROM x WHERE fold <> k GROUP BY k),
+    e AS ({_RMSE.format(name='forecast_price', prediction='ia + sa * a')} UNION ALL {_RMSE.format(name='drifting', prediction='ib + sb * b')}
+        UNION ALL {_RMSE.format(name='forecast_price,drifting', prediction='my + pa * (a - ma) + pb * (b - mb)')})
+    SELECT features, count(*) AS folds, round(avg(rmse), 4) AS cv_mean, round(stddev_pop(rmse), 4) AS cv_std FROM e GROUP BY features""")
+def linear_cross_validation(spark, sf_dir):
+    """Five-fold least squares with medians of the training rows, for two features and both together."""
+    view(spark, sf_dir, "forecast_orders").createOrReplaceTempView("priced_orders")
+    folded = split.assign_folds(spark.sql(_GAPPY.format(view="SELECT * FROM priced_orders")), "o_orderkey", "o_orderstatus", 5)
+    out = None
+    for names in (["forecast_price"], ["drifting"], ["forecast_price", "drifting"]):
+        part = folds.linear_cross_validation(folded, names, "actual_price", 5).select(F.lit(",".join(names)).alias("features"), "folds", "cv_mean", "cv_std")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("""SELECT o_orderstatus, round(sum(count(*)) OVER ()::DOUBLE / (count(*) OVER () * count(*)), 6) AS weight FROM orders GROUP BY o_orderstatus""")
 def class_weights(spark, sf_dir):
     return models.class_weights(table(spark, sf_dir, "orders"), "o_orderstatus").withColumn("weight", F.round("weight", 6))

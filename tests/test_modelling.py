@@ -121,3 +121,35 @@ def test_agnostic_values_add_up(spark):
     rows = {(r["row_id"], r["feature"]): r["phi"] for r in phi.collect()}
     shift = 3 * 11.0 - rows[(11, "a")]  # mean of the background values used
     assert all(rows[(i, "a")] == pytest.approx(3.0 * i - shift) for i in range(12))
+
+
+def test_linear_folds_match_refitting(spark):
+    import numpy as np
+
+    from gaugewell.operators import folds
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(240, 3)) * [1, 50, 1e-3] + [1e6, 0, 5]
+    y = 3e3 + x @ [0.5, -2.0, 900.0] + rng.normal(size=240)
+    rows = [(float(a) if i % 5 else None, float(b) if i % 7 else float("inf"), float(c), 2.0, float(t) if i % 31 else float("nan"), i % 4) for i, ((a, b, c), t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double, y double, fold int")
+    got = folds.linear_fold_scores(df, ["a", "b", "c", "same"], "y", 4)
+    kept = [r for r in rows if r[4] == r[4]]
+    want = []
+    for k in range(4):
+        fill = [np.median([r[j] for r in kept if r[5] != k and r[j] is not None and np.isfinite(r[j])]) for j in range(4)]
+        z = np.array([[r[j] if r[j] is not None and np.isfinite(r[j]) else fill[j] for j in range(4)] for r in kept])
+        t, inner = np.array([r[4] for r in kept]), np.array([r[5] != k for r in kept])
+        mean = z[inner].mean(0)
+        beta, *_ = np.linalg.lstsq(np.c_[np.ones(inner.sum()), z[inner] - mean], t[inner], rcond=None)
+        want.append(np.sqrt(np.mean((t[~inner] - np.c_[np.ones((~inner).sum()), z[~inner] - mean] @ beta) ** 2)))
+    assert got == pytest.approx(want, rel=1e-7)
+    assert folds.linear_fold_scores(df.limit(0), ["a"], "y", 4) == [] and folds.linear_fold_scores(df.where("fold = 1"), ["a"], "y", 4) == []
+
+
+def test_linear_baseline_is_cross_validated_in_one_pass(spark):
+    rows = [(i, float(i % 13), float(i * i % 7), 2.0 * (i % 13) - (i * i % 7) + (i % 3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y double")
+    found = models.train_baselines(df, "y", "regression", "k", models.Settings(folds=3), ["Linear Regression"])
+    scores = {r["metric"]: r["value"] for r in found.metrics.collect()}
+    assert 0 < scores["cv_mean"] < 1.2 and scores["cv_std"] < 0.2

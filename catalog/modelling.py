@@ -7,6 +7,7 @@ import uuid
 from catalog.registry import query, table, view, view_sql
 from gaugewell.functions.small import small_table
 from gaugewell.operators import evaluate, explain, folds, models, prep, split
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 _H = "md5(CAST({k} AS VARCHAR) || ':42'), CAST({k} AS VARCHAR)"
@@ -290,3 +291,16 @@ def tree_shap(spark, sf_dir):
     encoded = _encoded(b, "doc_id")
     phi, base = explain.tree_shap(b.models["Random Forest Classifier"].stages[-1], encoded, prep.feature_names(encoded), _folder(spark))
     return explain.global_summary(explain.reduce_classes(phi, len(base)))
+
+
+@query(f"""SELECT row_id, class_index, true AS adds_up FROM (SELECT doc_id AS row_id FROM ({_split_sql(_DOCS, "doc_id", "toxic")}) WHERE is_test), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS class_index)""")
+def tree_shap_adds_up(spark, sf_dir):
+    """For every test row and class, the Shapley values of the forest and its base value add up to the predicted probability."""
+    b = _classifier(spark, sf_dir, ["Random Forest Classifier"])
+    encoded = b.encoder.transform(b.test).withColumn("row_id", F.col("doc_id").cast("long"))
+    forest = b.models["Random Forest Classifier"].stages[-1]
+    phi, base = explain.tree_shap(forest, encoded, prep.feature_names(encoded), _folder(spark))
+    chance = forest.transform(encoded).select("row_id", F.posexplode(vector_to_array("probability")).alias("class_index", "p"))
+    total = phi.groupBy("row_id", "class_index").agg(F.sum("phi").alias("s")).join(chance, ["row_id", "class_index"], "full")
+    start = F.element_at(F.array(*[F.lit(base[k]) for k in sorted(base)]), F.col("class_index") + 1)
+    return total.select("row_id", "class_index", F.coalesce(F.abs(F.col("s") + start - F.col("p")) < 1e-9, F.lit(False)).alias("adds_up"))

@@ -19,7 +19,7 @@ SAMPLE_ROWS, TOP_FEATURES, LOCAL_ROWS, BACKGROUND_ROWS = 200, 20, 5, 50
 
 
 def sample_rows(test: DataFrame, key: str | list[str] | None = None, n: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """At most n seeded rows, the input of every Shapley computation."""
+    """At most n seeded rows, the usual input of a Shapley computation."""
     return split.sample_rows(test, n, key, seed)
 
 
@@ -108,51 +108,73 @@ def _leaf_paths(nodes: dict[int, Any], weigh) -> Iterator[tuple[int, list[tuple[
             stack.append((child, path + [(n.slot, n, goes_left, share)]))
 
 
-def _goes_left(node: Any, x: np.ndarray) -> np.ndarray:
-    if node.categories >= 0:
-        return np.isin(x, np.asarray(node.rule, dtype=float))
-    return x <= node.rule[0]
+_LEAVES = "tree int, leaf int, slots array<int>, low array<double>, high array<double>, kinds array<array<double>>, shares array<double>, value array<double>"
 
 
-def _tree_phi(nodes: dict[int, Any], xs: np.ndarray, is_class: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Path-dependent Shapley values of one tree: (rows, slots, outputs) and the expected output.
+def _paths_of_tree(pdf: pd.DataFrame, is_class: bool) -> pd.DataFrame:
+    """Every leaf of a tree as the conditions on its path, one per slot: an interval (low, high] or the categories let through, and
+    the share of the cover that goes on where the slot is unknown."""
+    nodes = {n.id: n for n in pdf.itertuples()}
 
-    Each leaf is a product of per-slot factors: covered share when the slot is
-    unknown, 0 or 1 when it is known. Its Shapley value is a weighted sum over
-    subset sizes of that product, kept as a polynomial over all sample rows.
-    """
     def weigh(n):
         return float(np.sum(n.stats)) if is_class else float(n.stats[0])
 
-    def output(n):
-        return np.asarray(n.stats, dtype=float) / max(np.sum(n.stats), 1e-300) if is_class else np.asarray([n.prediction])
-    rows, width = xs.shape
-    outputs = len(output(nodes[0]))
-    phi, base = np.zeros((rows, width, outputs)), np.zeros(outputs)
+    out = []
     for leaf, path in _leaf_paths(nodes, weigh):
-        unknown: dict[int, float] = {}
-        known: dict[int, np.ndarray] = {}
+        low, high, kinds, shares = {}, {}, {}, {}
         for slot, node, goes_left, share in path:
-            took = _goes_left(node, xs[:, slot]) == goes_left
-            unknown[slot] = unknown.get(slot, 1.0) * share
-            known[slot] = known[slot] & took if slot in known else took
-        value = output(nodes[leaf])
-        base += value * np.prod(list(unknown.values()) or [1.0])
-        slots = list(unknown)
-        d = len(slots)
-        for s in slots:
+            shares[slot] = shares.get(slot, 1.0) * share
+            if node.categories >= 0:
+                left = {float(v) for v in node.rule}
+                through = left if goes_left else {float(v) for v in range(node.categories)} - left
+                kinds[slot] = kinds.get(slot, through) & through
+            elif goes_left:
+                high[slot] = min(high.get(slot, np.inf), float(node.rule[0]))
+            else:
+                low[slot] = max(low.get(slot, -np.inf), float(node.rule[0]))
+        n, slots = nodes[leaf], list(shares)
+        value = np.asarray(n.stats, dtype=float) / max(np.sum(n.stats), 1e-300) if is_class else np.asarray([n.prediction], dtype=float)
+        out.append((int(pdf["treeID"].iloc[0]), leaf, slots, [low.get(s, -np.inf) for s in slots], [high.get(s, np.inf) for s in slots],
+                    [sorted(kinds[s]) if s in kinds else None for s in slots], [shares[s] for s in slots], list(value)))
+    return pd.DataFrame(out, columns=["tree", "leaf", "slots", "low", "high", "kinds", "shares", "value"])
+
+
+def leaf_paths(model: Any, folder: str | None = None) -> DataFrame:
+    """(tree, leaf, slots, low, high, kinds, shares, value): the leaves of a forest with the conditions that lead to them."""
+    is_class = hasattr(model, "numClasses")
+
+    def of_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _paths_of_tree(pdf, is_class)
+
+    return tree_nodes(model, folder).groupBy("treeID").applyInPandas(of_tree, _LEAVES)
+
+
+def _leaf_phi(xs: np.ndarray, leaves: pd.DataFrame, outputs: int) -> np.ndarray:
+    """(rows, slots, outputs): Shapley values of some leaves' parts of the forest's output.
+
+    Each leaf is a product of per-slot factors: covered share when the slot is
+    unknown, 0 or 1 when it is known. Its Shapley value is a weighted sum over
+    subset sizes of that product, kept as a polynomial over all rows.
+    """
+    rows, width = xs.shape
+    phi = np.zeros((rows, width, outputs))
+    for leaf in leaves.itertuples():
+        d = len(leaf.slots)
+        known = []
+        for slot, low, high, kinds in zip(leaf.slots, leaf.low, leaf.high, leaf.kinds):
+            x = xs[:, slot]
+            known.append(((x > low) & (x <= high) if kinds is None else np.isin(x, np.asarray(kinds, dtype=float))).astype(float))
+        weights = np.asarray([1.0 / (d * _choose(d - 1, k)) for k in range(d)])
+        for i in range(d):
             poly = np.zeros((rows, d))  # coefficient of t^k: subsets of size k of the other slots
             poly[:, 0] = 1.0
-            for other in slots:
-                if other != s:
+            for j in range(d):
+                if j != i:
                     moved = np.zeros_like(poly)
-                    moved[:, 1:] = poly[:, :-1] * known[other][:, None]
-                    poly = poly * unknown[other] + moved
-            weights = np.ones(d)
-            for k in range(d):
-                weights[k] = 1.0 / (d * _choose(d - 1, k))
-            phi[:, s, :] += ((known[s] - unknown[s]) * (poly @ weights))[:, None] * value[None, :]
-    return phi, base
+                    moved[:, 1:] = poly[:, :-1] * known[j][:, None]
+                    poly = poly * leaf.shares[j] + moved
+            phi[:, leaf.slots[i], :] += ((known[i] - leaf.shares[i]) * (poly @ weights))[:, None] * np.asarray(leaf.value)[None, :]
+    return phi
 
 
 def _choose(n: int, k: int) -> float:
@@ -162,39 +184,38 @@ def _choose(n: int, k: int) -> float:
     return out
 
 
+SHAP_ROWS, SHAP_LEAVES = 1_024, 4_096  # rows and leaves that a task brings together
+
+
 def tree_shap(model: Any, sample: DataFrame, names: list[str], folder: str | None = None) -> tuple[DataFrame, dict[int, float]]:
     """(row_id, class_index, slot, feature, feature_value, phi) averaged over trees, and base values.
 
-    One group per tree, so a forest of any size stays distributed; the sample
-    travels with the tasks and holds at most a few hundred rows.
+    The leaves are a table, joined to the rows in cells of bounded numbers of rows and leaves, so that forests and samples of any
+    size stay distributed. `sample` has row_id and features.
     """
-    spark = sample.sparkSession
-    rows = sample.select("row_id", vector_to_array("features").alias("x")).orderBy("row_id").limit(SAMPLE_ROWS + 1).collect()
-    if len(rows) > SAMPLE_ROWS:
-        raise AuditError(f"Tree explanations take at most {SAMPLE_ROWS} rows; draw them with sample_rows.")
-    ids, xs = [r["row_id"] for r in rows], np.asarray([r["x"] for r in rows], dtype=float)
-    is_class = hasattr(model, "numClasses")
-
-    def per_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        phi, base = _tree_phi({n.id: n for n in pdf.itertuples()}, xs, is_class)
+    leaves, outputs, n_trees = leaf_paths(model, folder), int(getattr(model, "numClasses", 1)), model.getNumTrees
+    reach = F.aggregate("shares", F.lit(1.0), lambda a, b: a * b)
+    totals = leaves.agg(F.count(F.lit(1)).alias("n"), *[F.sum(reach * F.get("value", F.lit(k))).alias(f"b{k}") for k in range(outputs)]).first()
+    base = {k: (totals[f"b{k}"] or 0.0) / n_trees for k in range(outputs)}
+    rows = sample.select("row_id", vector_to_array("features").alias("x"))
+    row_parts, leaf_parts = max(1, -(-rows.count() // SHAP_ROWS)), max(1, -(-totals["n"] // SHAP_LEAVES))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"row_id": [], "slot": [], "class_index": [], "phi": []}).astype({"row_id": "int64", "slot": "int32", "class_index": "int32"})
+        phi = _leaf_phi(np.asarray(left["x"].tolist(), dtype=float), right, outputs)
         r, s, k = np.nonzero(phi)
-        body = pd.DataFrame({"row": r, "slot": s, "class_index": k, "phi": phi[r, s, k]})
-        offset = pd.DataFrame({"row": -1, "slot": -1, "class_index": range(len(base)), "phi": base})
-        return pd.concat([offset, body]).astype({"row": "int64", "slot": "int64", "class_index": "int64"})
-
-    n_trees = model.getNumTrees
-    nodes = tree_nodes(model, folder)
-    summed = (
-        nodes.groupBy("treeID").applyInPandas(per_tree, "row long, slot long, class_index long, phi double")
-        .groupBy("row", "slot", "class_index").agg((F.sum("phi") / n_trees).alias("phi")).persist()
-    )
-    base = {r["class_index"]: r["phi"] for r in summed.where("row < 0").collect()}
-    position = small_table(spark, [{"row": i, "row_id": v} for i, v in enumerate(ids)], {"row": "long", "row_id": "long"})
+        return pd.DataFrame({"row_id": left["row_id"].to_numpy()[r], "slot": s.astype("int32"), "class_index": k.astype("int32"), "phi": phi[r, s, k]})
+
+    rows = rows.withColumn("row_part", F.pmod(F.xxhash64("row_id"), F.lit(row_parts)).cast("int"))
+    rows = rows.withColumn("leaf_part", F.explode(F.sequence(F.lit(0), F.lit(leaf_parts - 1))))
+    parted = leaves.withColumn("leaf_part", F.pmod(F.xxhash64("tree", "leaf"), F.lit(leaf_parts)).cast("int"))
+    parted = parted.withColumn("row_part", F.explode(F.sequence(F.lit(0), F.lit(row_parts - 1))))
+    cells = rows.groupBy("row_part", "leaf_part").cogroup(parted.groupBy("row_part", "leaf_part")).applyInPandas(cell, "row_id long, slot int, class_index int, phi double")
+    summed = cells.groupBy("row_id", "slot", "class_index").agg((F.sum("phi") / n_trees).alias("phi"))
     values = sample.select("row_id", F.posexplode(vector_to_array("features")).alias("slot", "feature_value"))
-    every = values.join(F.broadcast(position), "row_id")
-    listed = F.array(*[F.lit(k) for k in sorted(base)])
-    full = every.withColumn("class_index", F.explode(listed)) if base else every
-    out = full.join(summed, ["row", "slot", "class_index"], "left").select(
+    full = values.withColumn("class_index", F.explode(F.sequence(F.lit(0), F.lit(outputs - 1))))
+    out = full.join(summed, ["row_id", "slot", "class_index"], "left").select(
         "row_id", F.col("class_index").cast("int").alias("class_index"), "slot",
         F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slot") + 1).alias("feature"), "feature_value",
         F.coalesce("phi", F.lit(0.0)).alias("phi"))

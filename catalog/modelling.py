@@ -7,6 +7,7 @@ import uuid
 from catalog.registry import query, table, view, view_sql
 from gaugewell.functions.small import small_table
 from gaugewell.operators import evaluate, explain, folds, models, prep, split
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -304,3 +305,67 @@ def tree_shap_adds_up(spark, sf_dir):
     total = phi.groupBy("row_id", "class_index").agg(F.sum("phi").alias("s")).join(chance, ["row_id", "class_index"], "full")
     start = F.element_at(F.array(*[F.lit(base[k]) for k in sorted(base)]), F.col("class_index") + 1)
     return total.select("row_id", "class_index", F.coalesce(F.abs(F.col("s") + start - F.col("p")) < 1e-9, F.lit(False)).alias("adds_up"))
+
+
+_LINEAR = f"""WITH v AS ({_GAPPY.format(view=view_sql('forecast_orders'))}),
+    s AS (SELECT *, row_number() OVER (ORDER BY {_H.format(k='o_orderkey')}) <= ceil(count(*) OVER () * 0.2::DOUBLE) AS is_test FROM v),
+    x AS (SELECT o_orderkey, is_test, CAST(actual_price AS DOUBLE) AS y, CAST(forecast_price AS DOUBLE) AS a, CAST(coalesce(drifting, (SELECT median(drifting) FROM s WHERE NOT is_test)) AS DOUBLE) AS b FROM s),
+    fit AS (SELECT (regr_sxy(y, a) * regr_sxx(y, b) - regr_sxy(y, b) * regr_sxy(a, b)) / (regr_sxx(y, a) * regr_sxx(y, b) - regr_sxy(a, b) * regr_sxy(a, b)) AS pa,
+        (regr_sxy(y, b) * regr_sxx(y, a) - regr_sxy(y, a) * regr_sxy(a, b)) / (regr_sxx(y, a) * regr_sxx(y, b) - regr_sxy(a, b) * regr_sxy(a, b)) AS pb,
+        avg(y) AS my, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS da, stddev_pop(b) AS db FROM x WHERE NOT is_test),
+    mid AS (SELECT avg(a) AS ta, avg(b) AS tb FROM x WHERE is_test),
+    phi AS (SELECT o_orderkey AS row_id, 'numeric__forecast_price' AS feature, pa * (a - ta) AS phi FROM x, fit, mid WHERE is_test
+        UNION ALL SELECT o_orderkey, 'numeric__drifting', pb * (b - tb) FROM x, fit, mid WHERE is_test)"""
+
+
+def _linear(spark, sf_dir):
+    """A linear model of the order price on two numbers, fitted on the training rows, and its Shapley values on all test rows."""
+    view(spark, sf_dir, "forecast_orders").createOrReplaceTempView("priced_orders")
+    sided = split.train_test_split(spark.sql(_GAPPY.format(view="SELECT * FROM priced_orders")), "o_orderkey").withColumn("label", F.col("actual_price").cast("double"))
+    encoder = prep.FeatureEncoder(prep.FeatureGroups(numeric=["forecast_price", "drifting"])).fit(sided.where("NOT is_test"))
+    model = PipelineModel(stages=[*encoder.stages, models.baseline_estimators("regression", models.Settings(), 0)["Linear Regression"].fit(encoder.transform(sided.where("NOT is_test")))])
+    encoded = encoder.transform(sided.where("is_test")).withColumn("row_id", F.col("o_orderkey").cast("long"))
+    names = prep.feature_names(encoded)
+    phi, base = explain.linear_shap(encoded, *explain._weights_of(model.stages[-1]), names)
+    return model, names, explain.reduce_classes(phi, len(base)), base
+
+
+@query(f"""{_LINEAR} SELECT row_id, feature, round(phi, 3) AS phi FROM phi""")
+def linear_contributions(spark, sf_dir):
+    return _linear(spark, sf_dir)[2].select("row_id", "feature", F.round("phi", 3).alias("phi"))
+
+
+@query(f"""{_LINEAR}, g AS (SELECT feature, avg(abs(phi)) AS ma, avg(phi) AS m FROM phi GROUP BY feature)
+    SELECT row_number() OVER (ORDER BY ma DESC, feature) AS position, feature, round(ma, 3) AS mean_abs_shap FROM g""")
+def linear_ranking(spark, sf_dir):
+    return explain.global_summary(_linear(spark, sf_dir)[2]).select("position", "feature", F.round("mean_abs_shap", 3).alias("mean_abs_shap"))
+
+
+@query(f"""{_LINEAR}, chosen AS (SELECT * FROM phi WHERE row_id IN (SELECT DISTINCT row_id FROM phi ORDER BY row_id LIMIT 5)),
+    lists AS (SELECT row_id, 'overall' AS list, feature, phi, abs(phi) AS size FROM chosen UNION ALL SELECT row_id, 'positive', feature, phi, phi FROM chosen WHERE phi > 0
+        UNION ALL SELECT row_id, 'negative', feature, phi, -phi FROM chosen WHERE phi < 0)
+    SELECT row_id, list, row_number() OVER (PARTITION BY row_id, list ORDER BY size DESC, feature) AS position, feature, round(phi, 3) AS phi FROM lists""")
+def linear_local_lists(spark, sf_dir):
+    return explain.local_explanations(_linear(spark, sf_dir)[2]).select("row_id", "list", "position", "feature", F.round("phi", 3).alias("phi"))
+
+
+@query(f"""{_LINEAR}, c AS (SELECT 'numeric__forecast_price' AS feature, pa * da AS w FROM fit UNION ALL SELECT 'numeric__drifting', pb * db FROM fit)
+    SELECT feature, round(w, 3) AS importance, round(abs(w), 3) AS absolute_importance, 'linear_coefficient' AS importance_type FROM c
+    UNION ALL SELECT 'base value', round(my + pa * (ta - ma) + pb * (tb - mb), 3), NULL, 'base_value' FROM fit, mid""")
+def linear_importance(spark, sf_dir):
+    """Coefficients of the scaled features, and the base value: the mean prediction over the explained rows."""
+    model, names, _, base = _linear(spark, sf_dir)
+    found = explain.importance(model, names).select("feature", *[F.round(c, 3).alias(c) for c in ("importance", "absolute_importance")], "importance_type")
+    return found.unionByName(small_table(spark, [{"feature": "base value", "importance": round(base[0], 3), "absolute_importance": None, "importance_type": "base_value"}],
+                                         {"feature": "string", "importance": "double", "absolute_importance": "double", "importance_type": "string"}))
+
+
+@query("""WITH b AS (SELECT avg(c_acctbal) AS ab, avg(c_nationkey) AS an, avg(c_custkey) AS ac FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 50))
+    SELECT c_custkey AS row_id, feature, round(phi, 3) AS phi FROM (SELECT c_custkey, 'c_acctbal' AS feature, 2.5::DOUBLE * (c_acctbal - ab) AS phi FROM customer, b
+    UNION ALL SELECT c_custkey, 'c_nationkey', -4.0::DOUBLE * (c_nationkey - an) FROM customer, b UNION ALL SELECT c_custkey, 'code', 0.3::DOUBLE * (c_custkey - ac) FROM customer, b)""")
+def agnostic_contributions(spark, sf_dir):
+    """Model-agnostic Shapley values of a linear prediction, which have a closed form, for every customer."""
+    df = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("row_id"), F.col("c_acctbal").cast("double").alias("c_acctbal"),
+                                                  F.col("c_nationkey").cast("double").alias("c_nationkey"), F.col("c_custkey").cast("double").alias("code"))
+    out = explain.agnostic_shap(lambda d: d.withColumn("prediction", F.expr("2.5D * c_acctbal - 4.0D * c_nationkey + 0.3D * code + 7")), df, ["c_acctbal", "c_nationkey", "code"])
+    return out.withColumn("phi", F.round("phi", 3))

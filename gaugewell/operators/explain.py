@@ -265,19 +265,21 @@ def agnostic_shap(
 ) -> DataFrame:
     """(row_id, feature, phi) for any model: permutation sampling against background rows of the sample.
 
-    `predict(df)` adds a numeric `prediction`. The background is at most 50 rows
-    and travels as a literal; each sample row walks from a background row to
-    itself one column at a time, in a seeded order and its reverse.
+    `predict(df)` adds a numeric `prediction`. The background is the `background` rows
+    of smallest row_id and travels as a literal; each sample row walks from a
+    background row to itself one column at a time, in a seeded order and its reverse.
+    At least `permutations` pairs of walks are made, and as many from each background
+    row, so for a linear model phi is its weight times (x - mean of the background).
     """
     rows = sample.orderBy("row_id").limit(background).select(*columns).collect()
     if not rows:
         raise AuditError("No background rows.")
     rng = np.random.default_rng(seed)
     orders, starts = [], []
-    for _ in range(permutations):
+    for pair in range(-(-permutations // len(rows)) * len(rows)):
         order = [int(i) for i in rng.permutation(len(columns))]
         orders += [order, order[::-1]]
-        starts += [int(rng.integers(len(rows)))] * 2
+        starts += [pair % len(rows)] * 2
     # The orders and background cells are literals: permutations x columns and at most `background` rows.
     listed = "array(" + ", ".join(f"array({', '.join(map(str, o))})" for o in orders) + ")"
     walks = sample.select("row_id", *columns, F.explode(F.expr(f"sequence(0, {len(orders) - 1})")).alias("walk"))

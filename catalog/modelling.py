@@ -7,6 +7,7 @@ import uuid
 from catalog.registry import query, table, view, view_sql
 from gaugewell.functions.small import small_table
 from gaugewell.operators import evaluate, explain, folds, models, prep, split
+from gaugewell.sources import sinks
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -369,3 +370,17 @@ def agnostic_contributions(spark, sf_dir):
                                                   F.col("c_nationkey").cast("double").alias("c_nationkey"), F.col("c_custkey").cast("double").alias("code"))
     out = explain.agnostic_shap(lambda d: d.withColumn("prediction", F.expr("2.5D * c_acctbal - 4.0D * c_nationkey + 0.3D * code + 7")), df, ["c_acctbal", "c_nationkey", "code"])
     return out.withColumn("phi", F.round("phi", 3))
+
+
+@query(f"""{_LINEAR}, e AS (SELECT y, my + pa * (a - ma) + pb * (b - mb) AS p FROM x, fit WHERE is_test)
+    SELECT 'rmse' AS key, round(sqrt(avg((y - p) * (y - p))), 3) AS value, CAST(1 AS BIGINT) AS logged FROM e UNION ALL SELECT 'mae', round(avg(abs(y - p)), 3), 1 FROM e""")
+def run_log_twice(spark, sf_dir):
+    """A linear baseline logged twice under one run id: its errors on the test rows are there once."""
+    view(spark, sf_dir, "forecast_orders").createOrReplaceTempView("priced_orders")
+    df = spark.sql(_GAPPY.format(view="SELECT * FROM priced_orders")).drop("o_orderstatus").withColumn("o_orderkey", F.col("o_orderkey").cast("string"))  # text that differs in every row is no feature
+    found = models.train_baselines(df, "actual_price", "regression", "o_orderkey", models.Settings(cross_validate=False), ["Linear Regression"])
+    path = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/log-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.append_run(found, path, "orders", save_model=False)
+    metrics = sinks.read_runs(spark, path)["metrics"].where("run_id = 'orders-0' AND key IN ('rmse', 'mae')")
+    return metrics.groupBy("key").agg(F.round(F.max("value"), 3).alias("value"), F.count(F.lit(1)).alias("logged"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from catalog.registry import ALL, DOUBLES, GROUP, NUMBERS, STRINGS, dirty, each, finite, query, table, view
 from gaugewell.operators import facts, imbalance, profile, split, stats
 from gaugewell.sources import readers
@@ -176,3 +178,17 @@ def exact_sizes_on_repeated_keys(spark, sf_dir):
     sample = split.sample_rows(df, 500, "l_linenumber").agg(F.lit("sample").alias("side"), F.count(F.lit(1)).alias("rows"))
     sides = split.train_test_split(df, "l_linenumber").groupBy(F.when(F.col("is_test"), "test").otherwise("train").alias("side")).agg(F.count(F.lit(1)).alias("rows"))
     return sample.union(sides)
+
+
+@query("""SELECT p_partkey, concat(p_name, CASE WHEN p_partkey % 3 = 1 THEN ' é' ELSE ' ü' END) AS p_name, p_size, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE p_retailprice END AS p_retailprice FROM part""")
+def csv_folder(spark, sf_dir):
+    """Every part written as CSV files of different encodings and headers, and read back as one table."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/csv-{uuid.uuid4().hex}"
+    parts = table(spark, sf_dir, "part")
+    named = parts.select("p_partkey", F.concat("p_name", F.when(F.col("p_partkey") % 3 == 1, " é").otherwise(" ü")).alias("p_name"), "p_size", "p_retailprice")
+    some = [named.where(F.col("p_partkey") % 3 == k) for k in range(3)]
+    some[0].withColumnRenamed("p_partkey", "\ufeffp_partkey").write.option("header", True).csv(f"{folder}/marked")
+    some[1].select("p_size", "p_name", "p_retailprice", "p_partkey").write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{folder}/latin")
+    some[2].drop("p_retailprice").write.option("header", True).option("quoteAll", True).csv(f"{folder}/quoted")
+    df = readers.read_csv(spark, f"{folder}/*")
+    return df.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_size", "p_retailprice")

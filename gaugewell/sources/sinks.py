@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gaugewell.errors import AuditError
 from gaugewell.functions import cells
@@ -111,11 +111,24 @@ def run_log(baseline, run_id: str | None = None) -> dict[str, DataFrame]:
 
 
 def append_run(baseline, path: str, run_id: str | None = None, save_model: bool = True) -> str:
-    """Append the run log under `path` and save the best model; returns the run id."""
+    """Write the run log under `path` and save the best model; returns the run id.
+
+    The rows lie in a partition named after the run (`log_id`), which a rerun with the same id replaces as a whole, so logging twice
+    leaves one set of rows; other runs stay as they are.
+    """
     run_id = run_id or uuid.uuid4().hex
     for name, table in run_log(baseline, run_id).items():
-        table.write.mode("append").parquet(f"{path}/{name}")
+        marked = table.withColumn("log_id", F.lit(run_id)).repartition(1)  # a few rows per model
+        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_id").parquet(f"{path}/{name}")
     if save_model:
         best: PipelineModel = baseline.models[baseline.best.first()["model"]]
         best.write().overwrite().save(f"{path}/models/{run_id}")
     return run_id
+
+
+def read_runs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """`runs` and `metrics` of all logged runs under `path`."""
+    return {
+        "runs": spark.read.schema("run_id string, parent_id string, model string, param string, value string, log_id string").parquet(f"{path}/runs"),
+        "metrics": spark.read.schema("run_id string, key string, value double, log_id string").parquet(f"{path}/metrics"),
+    }

@@ -129,5 +129,28 @@ def test_full_audit_gate_then_approval(spark, leaky_df, tmp_path):
     run = sinks.append_run(audited.baseline, str(tmp_path / "log"))
     runs = spark.read.parquet(str(tmp_path / "log" / "runs"))
     assert runs.where(F.col("parent_id") == run).select("run_id").distinct().count() == 2
+    rows = runs.count()
+    assert sinks.append_run(audited.baseline, str(tmp_path / "log"), run) == run and sinks.append_run(audited.baseline, str(tmp_path / "log"), "007", False) == "007"
+    logged = sinks.read_runs(spark, str(tmp_path / "log"))
+    assert logged["runs"].where(F.col("log_id") == run).count() == rows == logged["runs"].where("log_id = '007'").count()
+    assert {r["log_id"] for r in logged["metrics"].select("log_id").distinct().collect()} == {run, "007"}
     sinks.write_report({"findings": audited.tables["findings"]}, outcome["reports"], str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report" / "html"), wholetext=True).count() == 1
+
+
+def test_a_folder_of_different_csv_files(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("name,v\ncafé,1\n".encode())
+    (folder / "b.csv").write_bytes("\n\nv,name\n2,cr\xe8me\n".encode("latin-1"))
+    (folder / "c.csv").write_bytes('\ufeff"name","v","more, or less"\n"th\u00e9",3,x\n'.encode())
+    (folder / "d.csv").write_bytes(b"")
+    (folder / "e.csv").write_bytes("name,v\nplain,2.5\n".encode())
+    df = readers.read_csv(spark, str(folder))
+    assert df.columns[:2] == ["name", "v"] and dict(df.dtypes) == {"name": "string", "v": "double", "more, or less": "string"}
+    assert sorted(tuple(r) for r in df.select("name", "v").collect()) == [("café", 1.0), ("crème", 2.0), ("plain", 2.5), ("thé", 3.0)]
+    assert df.where("name = 'thé'").first()["more, or less"] == "x"
+    assert dict(readers.read_csv(spark, str(folder), schema="name string, v int").dtypes)["v"] == "int"
+    (folder / "f.csv").write_bytes(b"name,name\n1,2\n")
+    with pytest.raises(AuditError):
+        readers.read_csv(spark, str(folder))

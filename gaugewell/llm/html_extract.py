@@ -3,7 +3,8 @@
 Each block element of a page is a node that is content or not. Its own potential is a logistic function of its tag, the words of its
 class, id and role, and the shape of the text below it; the potential between parent and child says how often a child is content
 depending on what its parent is. Both are fitted together to labelled pages. Sum-product messages up and down the tree give the exact probability of
-each node, and the text blocks of nodes that are likelier content than not are the main text.
+each node, and the text blocks of nodes that are likelier content than not are the main text. A page without block elements has no tree
+to judge: all its text is main text. Forms and their controls are never part of it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from gaugewell.llm.shared import bounded_batches
 
 # fixed values: elements of HTML by kind
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style noscript template title iframe object svg math canvas audio video select".split())
+HIDDEN = frozenset("head script style noscript template title iframe object svg canvas audio video select textarea button datalist annotation annotation-xml".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -218,7 +219,22 @@ def extract(htmls: list[str | None], model: TreeModel) -> list[str]:
     first = np.cumsum([0] + [len(p.nodes) for p in pages])
     parent = np.array([n.parent + f if n.parent >= 0 else -1 for p, f in zip(pages, first) for n in p.nodes])
     p, _ = sum_product(inputs([n for page in pages for n in page.nodes]) @ np.array(model.weights), parent, np.array(model.joint))
-    return ["\n".join(text for at, text in page.texts if p[f + at] > 0.5) for page, f in zip(pages, first)]
+    out = []
+    for page, f in zip(pages, first):
+        forms = in_forms(page.nodes)
+        out.append("\n".join(text for at, text in page.texts if len(page.nodes) == 1 or (p[f + at] > 0.5 and not forms[at])))
+    return out
+
+
+def in_forms(nodes: list[Node]) -> list[bool]:
+    """Whether a node belongs to a form. A form around an article, a main element or a first heading is the page's frame, not a form."""
+    frame = [n.tag in ("article", "main", "h1") for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        frame[nodes[i].parent] |= frame[i]
+    inside = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        inside[i] = n.tag == "form" and not frame[i] or n.parent >= 0 and inside[n.parent]
+    return inside
 
 
 def _extract(batches: Iterator[pa.RecordBatch], model: TreeModel) -> Iterator[pa.RecordBatch]:

@@ -353,3 +353,35 @@ def test_quality_on_held_out_rows(spark):
     assert len(got) == len(more) and all(0 <= r.quality <= 1 for r in got)
     assert np.mean([r.accepted == (r.y == 1) for r in got if r.doc_id is not None and r.doc_id < 1000]) > 0.97
     assert score_quality(df.limit(0), model).count() == 0
+
+
+def test_main_text_of_plain_pages_forms_and_formulas():
+    say = "The river rose again in the night, and by morning the lower road was closed. "
+    article = lambda inner: f"<html><body><article><h1>A river</h1><p>{say * 3}</p>{inner}<p>{say * 2}</p></article></body></html>"
+    model = default_model()
+    plain, inline, empty = extract([f"Just text &amp; more.\n{say}", f"Some <b>bold</b> text. {say}", "<p></p>"], model)
+    assert plain == f"Just text & more. {say}".strip() and inline == f"Some bold text. {say}".strip() and empty == ""
+    form, area, formula, framed = extract([
+        article("<form><p>Type here and press enter.</p></form>"), article("<p>Before <textarea>x y</textarea><button>Go</button> after.</p>"),
+        article("<p>So <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> holds.</p>"),
+        f"<html><body><form action='/'><nav><a href='/'>Home</a></nav><article><h1>A river</h1><p>{say * 4}</p></article></form></body></html>"], model)
+    assert "Type" not in form and form.count("river rose") == 5
+    assert "x y" not in area and "Go" not in area and "Before after." in area
+    assert "So a+b holds." in formula and "Home" not in framed and framed.startswith("A river")
+
+
+def test_sum_product_against_enumeration():
+    from itertools import product
+
+    from gaugewell.llm.html_extract import sum_product
+
+    rng = np.random.default_rng(3)
+    for parent in ([-1], [-1, 0, 0, 1, 1, 4], [-1, 0, 1, 2, -1, 4, 4], [-1, -1, 0, 1, 1]):
+        own, joint, n = rng.normal(size=len(parent)) * 2, rng.normal(size=(2, 2)), len(parent)
+        weights = {y: np.exp(sum(o for o, v in zip(own, y) if v) + sum(joint[y[q], v] for q, v in zip(parent, y) if q >= 0)) for y in product((0, 1), repeat=n)}
+        total = sum(weights.values())
+        p, pair = sum_product(own, np.array(parent), joint)
+        assert np.allclose(p, [sum(w for y, w in weights.items() if y[i]) / total for i in range(n)])
+        children = [i for i in range(n) if parent[i] >= 0]
+        for i, found in zip(children, pair):
+            assert np.allclose(found, [[sum(w for y, w in weights.items() if (y[parent[i]], y[i]) == (a, b)) / total for b in (0, 1)] for a in (0, 1)])

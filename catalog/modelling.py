@@ -384,3 +384,30 @@ def run_log_twice(spark, sf_dir):
         sinks.append_run(found, path, "orders", save_model=False)
     metrics = sinks.read_runs(spark, path)["metrics"].where("run_id = 'orders-0' AND key IN ('rmse', 'mae')")
     return metrics.groupBy("key").agg(F.round(F.max("value"), 3).alias("value"), F.count(F.lit(1)).alias("logged"))
+
+
+_ENCODED = """SELECT *, CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_totalprice END AS price, 5 AS same,
+    CASE WHEN is_test AND o_orderkey % 5 = 0 THEN 'NEW' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM sided_orders"""
+_PARTS = {"year": "year(o_orderdate)", "month": "month(o_orderdate)", "day": "day(o_orderdate)", "dayofweek": "isodow(o_orderdate) - 1", "quarter": "quarter(o_orderdate)",
+          "is_month_start": "(day(o_orderdate) = 1)", "is_month_end": "(CAST(o_orderdate AS DATE) = last_day(o_orderdate))"}
+
+
+def _part_cells() -> str:
+    return " UNION ALL ".join(
+        f"SELECT o_orderkey, 'datetime__o_orderdate_{p}', CAST({e} AS DOUBLE) / (SELECT CASE WHEN stddev_pop(CAST({e} AS DOUBLE)) = 0 THEN 1 ELSE stddev_pop(CAST({e} AS DOUBLE)) END FROM f WHERE NOT is_test) FROM t"
+        for p, e in _PARTS.items())
+
+
+@query(f"""WITH sided_orders AS (SELECT *, row_number() OVER (ORDER BY {_H.format(k='o_orderkey')}) <= ceil(count(*) OVER () * 0.2::DOUBLE) AS is_test FROM orders),
+    f AS ({_ENCODED}), t AS (SELECT * FROM f WHERE is_test), n AS (SELECT *, CAST(coalesce(price, (SELECT median(price) FROM f WHERE NOT is_test)) AS DOUBLE) AS filled FROM f),
+    l AS (SELECT avg(filled) AS m, stddev_pop(filled) AS s FROM n WHERE NOT is_test), mode AS (SELECT priority FROM f WHERE NOT is_test AND priority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    c AS (SELECT o_orderkey, 'numeric__price' AS slot, (filled - m) / s AS value FROM n, l WHERE is_test UNION ALL {_part_cells()}
+        UNION ALL SELECT o_orderkey, 'categorical__priority_' || coalesce(priority, (SELECT priority FROM mode)), 1 FROM t WHERE priority IS NULL OR priority <> 'NEW')
+    SELECT o_orderkey AS row_id, slot, round(value, 5) AS value FROM c WHERE value <> 0""")
+def sparse_encoding(spark, sf_dir):
+    """Orders encoded as (row, slot, value): learned on the training rows, applied to the others, with a category unseen in training."""
+    split.train_test_split(table(spark, sf_dir, "orders"), "o_orderkey").createOrReplaceTempView("sided_orders")
+    df = spark.sql(_ENCODED)
+    groups = prep.FeatureGroups(numeric=["price", "same"], categorical=["priority"], datetime=["o_orderdate"])
+    found = prep.sparse_cells(df.where("is_test"), "o_orderkey", prep.fit_sparse(df.where("NOT is_test"), groups))
+    return found.select("row_id", "slot", F.round("value", 5).alias("value"))

@@ -276,6 +276,62 @@ class FeatureEncoder(Estimator):
         ])
 
 
+@dataclass
+class SparseEncoding:
+    """What `fit_sparse` learned: scales of numbers and calendar parts, and categories as a table of any size."""
+
+    groups: FeatureGroups
+    numbers: DataFrame  # (column, fill, mean, scale, prefix), one row per number or calendar part
+    labels: DataFrame | None  # (column, value)
+    fills: dict[str, str]
+
+
+def fit_sparse(train: DataFrame, groups: FeatureGroups, numeric_strategy: str = "median", max_categories: int = 0) -> SparseEncoding:
+    """Learns the encoding of `FeatureEncoder` as tables. Categories stay distributed, so a column may have any number of them."""
+    numbers = learn_numeric(train, groups.numeric, numeric_strategy).withColumn("prefix", F.lit("numeric__"))
+    if groups.datetime:
+        dated = calendar_features(train, groups.datetime)
+        parts = learn_numeric(dated, [c for c in dated.columns if c not in train.columns], "median")
+        # calendar parts are scaled but not centred
+        numbers = numbers.unionByName(parts.withColumns({"mean": F.lit(0.0), "prefix": F.lit("datetime__")}))
+    fills = modes(train, groups.categorical) if groups.categorical else {}
+    labels = categories(_text_cells(train, groups.categorical, fills), groups.categorical, max_categories).select("column", "value") if groups.categorical else None
+    return SparseEncoding(groups, numbers, labels, fills)
+
+
+def _text_cells(df: DataFrame, columns: list[str], fills: dict[str, str], keep: tuple[str, ...] = ()) -> DataFrame:
+    filled = [F.coalesce(cells.qcol(n).cast("string"), F.lit(fills.get(n, "missing"))).alias(n) for n in columns]
+    return df.select(*[cells.qcol(k) for k in keep], *filled)
+
+
+def sparse_cells(df: DataFrame, key: str, encoding: SparseEncoding) -> DataFrame:
+    """(row_id, slot, value): the cells of the encoded rows that are not zero.
+
+    An unknown category has no cell, or that of the infrequent ones if there is such a slot; a constant number is 0 everywhere.
+    """
+    g, out = encoding.groups, None
+    dated = calendar_features(df, g.datetime) if g.datetime else df
+    numbers = [*g.numeric, *[c for c in dated.columns if c not in df.columns]]
+    row = cells.qcol(key).alias("row_id")
+    if numbers:
+        kinds = {f.name: f.dataType for f in dated.schema.fields}
+        long = dated.select(row, *[cells.finite(n, kinds[n]).alias(f"c{i}") for i, n in enumerate(numbers)]).unpivot(["row_id"], [f"c{i}" for i in range(len(numbers))], "pos", "x")
+        named = long.withColumn("column", F.element_at(F.array(*[F.lit(n) for n in numbers]), F.substring("pos", 2, 9).cast("int") + 1))
+        scaled = named.join(F.broadcast(encoding.numbers), "column")  # one row per number or calendar part
+        out = scaled.select("row_id", F.concat("prefix", "column").alias("slot"), ((F.coalesce("x", "fill") - F.col("mean")) / F.col("scale")).alias("value"))
+    if g.categorical:
+        texts = _text_cells(df.withColumn("__row", row), g.categorical, encoding.fills, ("__row",)).unpivot(["__row"], list(g.categorical), "column", "value")
+        known = encoding.labels.withColumn("seen", F.lit(True))
+        rest = encoding.labels.where(F.col("value") == INFREQUENT).select("column", F.lit(True).alias("pooled"))  # one row per column at most
+        found = texts.join(known, ["column", "value"], "left").join(F.broadcast(rest), "column", "left").where("seen OR pooled")
+        label = F.when(F.col("seen"), F.col("value")).otherwise(INFREQUENT)
+        part = found.select(F.col("__row").alias("row_id"), F.concat(F.lit("categorical__"), "column", F.lit("_"), label).alias("slot"), F.lit(1.0).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise AuditError("No supported feature column is left.")
+    return out.where("value <> 0")
+
+
 def feature_names(encoded: DataFrame, column: str = "features") -> list[str]:
     """Names of the vector slots, from the column metadata."""
     attrs = encoded.schema[column].metadata.get("ml_attr", {}).get("attrs", {})

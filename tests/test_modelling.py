@@ -153,3 +153,17 @@ def test_linear_baseline_is_cross_validated_in_one_pass(spark):
     found = models.train_baselines(df, "y", "regression", "k", models.Settings(folds=3), ["Linear Regression"])
     scores = {r["metric"]: r["value"] for r in found.metrics.collect()}
     assert 0 < scores["cv_mean"] < 1.2 and scores["cv_std"] < 0.2
+
+
+def test_sparse_cells_equal_the_vectors(spark):
+    rows = [(i, float(i % 9) if i % 4 else None, 3.0, "abcd"[i % 4 if i % 8 else 0] if i % 7 else None, f"2024-0{1 + i % 6}-1{i % 9}", i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, x double, same double, c string, day string, flag boolean")
+    groups = prep.FeatureGroups(numeric=["x", "same"], categorical=["c", "flag"], datetime=["day"])
+    later = df.withColumn("c", F.when(F.col("k") % 10 == 0, "new").otherwise(F.col("c")))
+    for most in (0, 3):
+        model = prep.FeatureEncoder(groups, max_categories=most).fit(df)
+        encoded = model.transform(later)
+        names = prep.feature_names(encoded)
+        want = {(r["k"], names[i]): v for r in encoded.select("k", vector_to_array("features").alias("v")).collect() for i, v in enumerate(r["v"]) if v}
+        found = prep.sparse_cells(later, "k", prep.fit_sparse(df, groups, max_categories=most)).collect()
+        assert {(r["row_id"], r["slot"]): pytest.approx(r["value"]) for r in found} == want

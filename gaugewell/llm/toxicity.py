@@ -88,7 +88,7 @@ class Distances:
     def _trained(content: bytes) -> zstandard.ZstdCompressor:
         dictionary = zstandard.ZstdCompressionDict(content)
         settings = zstandard.ZstdCompressionParameters.from_level(
-            3, min_match=4, strategy=zstandard.STRATEGY_BTOPT, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+            3, min_match=4, strategy=zstandard.STRATEGY_GREEDY, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
         dictionary.precompute_compress(compression_params=settings)
         return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 

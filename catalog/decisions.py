@@ -253,3 +253,19 @@ def full_audits(spark, sf_dir):
              plan.Spec("customer", table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey")]
     _, outcome = plan.audit_many(specs, "human_gate", train=False)
     return outcome["summary"]
+
+
+def _class_balance(t: str) -> str:
+    return f"""SELECT '{t}' AS audit_id, '{t}' AS target_column, CASE WHEN count(*) = 2 THEN 'binary_classification' ELSE 'multiclass_classification' END AS problem_type,
+        CASE WHEN ratio < 1.5 AND NOT rare THEN 'low' WHEN ratio < 3 THEN CASE WHEN rare THEN 'moderate' ELSE 'low' END WHEN ratio < 10 THEN 'high' ELSE 'severe' END AS imbalance_severity
+        FROM (SELECT *, round(max(c) OVER () / min(c) OVER ()::DOUBLE, 2) AS ratio, bool_or(round(100.0 * c / s, 2) < 5) OVER () AS rare FROM (SELECT {t}, count(*) AS c, sum(count(*)) OVER () AS s FROM orders GROUP BY {t})) GROUP BY ratio, rare"""
+
+
+@query(f"""WITH d AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS duplicate_rows FROM orders)
+    SELECT a.*, CAST(d.duplicate_rows AS BIGINT) AS duplicate_rows FROM ({_class_balance('o_orderstatus')} UNION ALL {_class_balance('o_orderpriority')}
+    UNION ALL SELECT 'o_totalprice', 'o_totalprice', 'regression', 'not_applicable' FROM orders HAVING count(DISTINCT o_totalprice) > 50 AND bool_or(o_totalprice % 1 <> 0)) a, d""")
+def audits_of_one_table(spark, sf_dir):
+    """Three targets of one table audited over one set of column facts."""
+    orders = table(spark, sf_dir, "orders")
+    audits, _ = plan.audit_many([plan.Spec(t, orders, t, "o_orderkey") for t in ("o_orderstatus", "o_orderpriority", "o_totalprice")], "human_gate", train=False)
+    return plan.audits_table(audits).select("audit_id", "target_column", "problem_type", "imbalance_severity", "duplicate_rows")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
@@ -33,10 +34,32 @@ class Facts:
     n_rows: int
     by_column: dict[str, dict[str, Any]]
     table: DataFrame
+    kept: dict[str, Any] = field(default_factory=dict)  # small results about the whole table, shared by all its targets
 
     def __getitem__(self, column: str) -> dict[str, Any]:
         return self.by_column[column]
 
+    def once(self, name: str, make: Callable[[], Any]) -> Any:
+        """A result that does not depend on the target, computed the first time it is asked for."""
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
+
+    def for_target(self, target: str | None) -> Facts:
+        """The same facts seen from another target; nothing is read again."""
+        by_column = {n: f | {"is_target": n == target, "target": target} for n, f in self.by_column.items()}
+        return Facts(self.df, target, self.n_rows, by_column, _table(self.df, by_column), self.kept)
+
+
+def _table(df: DataFrame, by_column: dict[str, dict[str, Any]]) -> DataFrame:
+    return small_table(df.sparkSession, by_column.values(), _SCHEMA).withColumns(
+        {
+            "missing_percent": cells.percent(F.col("n_missing"), F.col("n_rows")),
+            "unique_percent": cells.percent(F.col("n_distinct"), F.col("n_rows")),
+            "dominant_percent": cells.percent(F.col("dominant_count"), F.col("n_rows")),
+        }
+    )
+
 
 def _outliers(df: DataFrame, infos: list[ColumnInfo], found: dict[str, dict[str, Any]], factor: float, least: int):
     """Bounds from the exact quartiles; cells outside them are counted in one pass where the pass for the quartiles could not."""
@@ -101,11 +124,4 @@ def gather(
         if "labels" in need:
             f["bool_like"] = c.group == "boolean" or stats.is_bool_like(f.get("label_mask"))
             f["int_like"] = True if c.group == "boolean" else bool(f.get("int_like"))
-    table = small_table(df.sparkSession, found.values(), _SCHEMA).withColumns(
-        {
-            "missing_percent": cells.percent(F.col("n_missing"), F.col("n_rows")),
-            "unique_percent": cells.percent(F.col("n_distinct"), F.col("n_rows")),
-            "dominant_percent": cells.percent(F.col("dominant_count"), F.col("n_rows")),
-        }
-    )
-    return Facts(df, target, n_rows, found, table)
+    return Facts(df, target, n_rows, found, _table(df, found))

@@ -153,10 +153,10 @@ def column_findings(facts: Facts, checks: list[str], limits: dict | None = None)
     return _ranked(found)
 
 
-def _table_findings(df: DataFrame, checks: list[str], limits: dict) -> DataFrame:
-    rows = []
+def _table_findings(df: DataFrame, checks: list[str], limits: dict, facts: Facts | None = None) -> DataFrame:
+    rows, once = [], facts.once if facts else lambda _, make: make()
     if "duplicate_rows" in checks:
-        d = profile.duplicate_rows(df).first()
+        d = once("duplicate_rows", lambda: profile.duplicate_rows(df).first())
         if d["duplicate_rows"]:
             pct = d["duplicate_percent"]
             rows.append({
@@ -172,7 +172,7 @@ def _table_findings(df: DataFrame, checks: list[str], limits: dict) -> DataFrame
                 "message": f"Same cells as column '{first}'.", "evidence": {"column_a": first, "column_b": later},
                 "recommendation": "Keep one of the equal columns.",
             }
-            for first, later in stats.duplicate_column_pairs(df)
+            for first, later in once("duplicate_columns", lambda: stats.duplicate_column_pairs(df))
         ]
     return _ranked(small_table(df.sparkSession, rows, FINDING_SCHEMA))
 
@@ -194,7 +194,7 @@ def findings(
         facts = facts or gather_facts(df, target, set().union(*(NEEDS[c] for c in column_checks)), **limits)
         parts.append(column_findings(facts, column_checks, limits))
     if len(column_checks) < len(checks):
-        parts.append(_table_findings(df, checks, k))
+        parts.append(_table_findings(df, checks, k, facts))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -12,6 +12,7 @@ from gaugewell.functions.small import small_table
 from gaugewell.operators import (
     explain, imbalance, leakage, metrics, models, problem, profile, quality, report, review, risk,
 )
+from gaugewell.operators.facts import Facts
 from gaugewell.operators.schema import check_structure, require_features, validate_target
 
 AUDIT_SCHEMA = {
@@ -36,9 +37,14 @@ class Audit:
     failures: list[str] = field(default_factory=list)
 
 
-def checks(df: DataFrame, target: str, audit_id: str = "audit", cache: bool = False, **limits) -> Audit:
+_NEED = set().union(*quality.NEEDS.values()) | {"numeric", "labels", "dates"}
+
+
+def checks(df: DataFrame, target: str, audit_id: str = "audit", cache: bool = False, facts: Facts | None = None, **limits) -> Audit:
     """Profile, problem type, quality, leakage and imbalance over one shared set of column facts.
 
+    `facts` of the same table, gathered for another target or none, are used as they are.
+
     `cache` keeps the input in memory and on disk between the passes; worth it
     when the table is derived or fits, not for a large parquet scan.
     """
@@ -47,8 +53,7 @@ def checks(df: DataFrame, target: str, audit_id: str = "audit", cache: bool = Fa
     require_features(df, target)
     source = df.persist() if cache else df
     try:
-        need = set().union(*quality.NEEDS.values()) | {"numeric", "labels", "dates"}
-        facts = quality.gather_facts(source, target, need, **{k: v for k, v in limits.items() if k in quality.LIMITS})
+        facts = facts.for_target(target) if facts else quality.gather_facts(source, target, _NEED, **{k: v for k, v in limits.items() if k in quality.LIMITS})
         kind = problem.detect(source, target, facts).first()
         found = quality.quality_audit(source, target, facts, **{k: v for k, v in limits.items() if k in quality.LIMITS})
         leaks = leakage.leakage_check(source, target, facts, **{k: v for k, v in limits.items() if k in leakage.LIMITS})
@@ -141,10 +146,19 @@ def audit_many(
 ) -> tuple[list[Audit], dict[str, DataFrame]]:
     """Check every spec, decide on all of them at once and train those that may go on.
 
+    Specs over one DataFrame share its column facts and its searches for repeated rows and columns, which are made once; only what
+    depends on the target is computed for each. With `exact_distinct` off every spec gathers its own, as a target stays exact.
+
     `done` are audits of an earlier call: after a review the decisions are joined
     to them, and the checks do not run again.
     """
-    audits = done or [checks(s.df, s.target, s.audit_id, **limits) for s in specs]
+    shared: dict[int, Facts] = {}
+    quality_limits = {k: v for k, v in limits.items() if k in quality.LIMITS}
+    if not done and limits.get("exact_distinct", True):
+        frames = [id(s.df) for s in specs]
+        shared = {id(s.df): s.df for s in specs if frames.count(id(s.df)) > 1}
+        shared = {i: quality.gather_facts(df, None, _NEED, **quality_limits) for i, df in shared.items()}
+    audits = done or [checks(s.df, s.target, s.audit_id, facts=shared.get(id(s.df)), **limits) for s in specs]
     outcome = decide(audits, mode, decisions, stop_on_critical)
     if train:
         open_ids = {r["audit_id"] for r in outcome["decisions"].where("decision = 'continue_to_modeling'").select("audit_id").collect()}

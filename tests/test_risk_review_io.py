@@ -154,3 +154,21 @@ def test_a_folder_of_different_csv_files(spark, tmp_path):
     (folder / "f.csv").write_bytes(b"name,name\n1,2\n")
     with pytest.raises(AuditError):
         readers.read_csv(spark, str(folder))
+
+
+def test_targets_of_one_table_share_its_facts(spark, leaky_df, monkeypatch):
+    from gaugewell.operators import facts, profile
+    from gaugewell.plans import audit as plan
+
+    asked, whole = [], []
+    gather, repeated = facts.gather, profile.duplicate_rows
+    monkeypatch.setattr(facts, "gather", lambda *a, **k: asked.append(1) or gather(*a, **k))
+    monkeypatch.setattr(profile, "duplicate_rows", lambda df: whole.append(1) or repeated(df))
+    targets = [c for c in leaky_df.columns if c != "student_id"][-2:]
+    audits, _ = plan.audit_many([plan.Spec(t, leaky_df, t) for t in targets], train=False)
+    assert len(asked) == len(whole) == 1
+    for a in audits:
+        alone = plan.checks(leaky_df, a.target, a.audit_id)
+        assert alone.row == a.row
+        for name in ("findings", "risks", "columns"):
+            assert sorted(map(str, alone.tables[name].collect())) == sorted(map(str, a.tables[name].collect()))

@@ -165,8 +165,17 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     return replace(model, weights=tuple(fit_logistic(_inputs(counts), np.array([k for _, k in rest], float))))
 
 
+_KEPT: dict[str, object] = {}  # the last model's distances, so that the words a worker knows outlive its task
+
+
+def _distances(model: Model) -> Distances:
+    if _KEPT.get("model") != model:
+        _KEPT.update(model=model, measure=Distances(model))
+    return _KEPT["measure"]
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    measure = Distances(model)
+    measure = _distances(model)
     for batch in batches:
         at = batch.schema.get_field_index("text")
         counts = np.array([measure.counts(t.as_py()) for t in batch.column(at)]).reshape(-1, len(GRID) + len(SAVED) + 2)

@@ -6,6 +6,7 @@ import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType
 
 from gaugewell.functions import cells, names
 from gaugewell.functions.small import small_table
@@ -69,14 +70,36 @@ def _comparable(feature: ColumnInfo, target: ColumnInfo) -> tuple[Column, Column
     return cells.text(feature.name, feature.dtype), cells.text(target.name, target.dtype)
 
 
+def _as_number(text: Column, dtype: DataType) -> Column:
+    """The number that is written as this text, null where there is none (`07` or ` 7` are no numbers written so).
+
+    Only texts that begin with a code from + to 9, or with the I of Infinity, are parsed, as a failing cast is slow.
+    """
+    first = F.ascii(text)
+    x = F.when(first.between(43, 57) | (first == 73), text.try_cast(dtype))
+    x = x + F.lit(0.0).cast(dtype) if cells.is_float(dtype) else x
+    return F.when(x.cast("string") == text, x)
+
+
 def duplicate_target_stats(df: DataFrame, target: str) -> DataFrame:
-    """(column, compared_rows, equal_rows, rows) for every feature, in one pass."""
+    """(column, compared_rows, equal_rows, rows) for every feature, in one pass.
+
+    A text target is read as a number once a row and compared with the numbers, instead of writing every number as text.
+    """
     t = columns_of(df, [target])[0]
-    exprs = {}
-    for c in _features(df, target):
-        a, b = _comparable(c, t)
-        exprs[c.name] = a == b  # null when either side is missing
-    found = stats.reduce_cells(df, exprs, {"compared_rows": "count(x)", "equal_rows": "count_if(x)", "rows": "count(1)"})
+    exprs, features = {}, _features(df, target)
+    label = cells.text(target, t.dtype)
+    kinds = list({c.dtype.simpleString(): c.dtype for c in features if c.group == "numeric"}.items()) if t.group == "categorical" else []
+    read = {kind: f"__target_as_{i}" for i, (kind, _) in enumerate(kinds)}
+    source = df.select("*", *[_as_number(label, dtype).alias(read[kind]) for kind, dtype in kinds])
+    for c in features:
+        if c.group == "numeric" and read:
+            x = cells.present(c.name, c.dtype)
+            exprs[c.name] = F.when(x.isNotNull() & label.isNotNull(), F.coalesce(x == F.col(read[c.dtype.simpleString()]), F.lit(False)))
+        else:
+            a, b = _comparable(c, t)
+            exprs[c.name] = a == b  # null when either side is missing
+    found = stats.reduce_cells(source, exprs, {"compared_rows": "count(x)", "equal_rows": "count_if(x)", "rows": "count(1)"})
     rows = [{"column": n} | e for n, e in found.items()]
     return small_table(
         df.sparkSession, rows, {"column": "string", "compared_rows": "long", "equal_rows": "long", "rows": "long"}
@@ -274,9 +297,17 @@ def separation_risks(df: DataFrame, target: str, **limits) -> DataFrame:
     )
 
 
+def _identifier_candidates(df: DataFrame, target: str) -> list[str]:
+    """Features that can be flagged as identifiers: texts, by their distinct values, and any whose name says so."""
+    features = _features(df, target)
+    named = small_table(df.sparkSession, [{"column": c.name} for c in features], {"column": "string"}).where(names.looks_like_id(F.col("column"), names.ID_WORDS))
+    by_name = {r["column"] for r in named.collect()}
+    return [c.name for c in features if c.group == "categorical" or c.name in by_name]
+
+
 def identifier_risks(df: DataFrame, target: str, facts: Facts | None = None, **limits) -> DataFrame:
     k = LIMITS | limits
-    facts = facts or facts_mod.gather(df, target, {"frequency"})
+    facts = facts or facts_mod.gather(df, target, {"frequency"}, _identifier_candidates(df, target))
     flagged = facts.table.where("NOT is_target").withColumns({
         "name_suggests_identifier": names.looks_like_id(F.col("column"), names.ID_WORDS),
         "uniqueness_suggests_identifier": (F.col("type_group") == "categorical")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugewell.operators import facts, leakage, stats
+from gaugewell.operators import explain, facts, leakage, models, prep, split, stats
 
 
 def test_identifiers_count_only_columns_that_can_be_flagged(spark, monkeypatch):
@@ -40,3 +40,32 @@ def test_many_brackets_are_counted_in_short_projections(spark):
     table = df.toPandas()
     for name, values in found.items():
         assert all(abs(v - table[name].quantile(i / 20)) < 1e-9 for i, v in enumerate(values, 1))
+
+
+def test_walks_of_a_row_stay_in_one_task(spark):
+    df = spark.range(80).select(F.col("id").alias("row_id"), (F.col("id") * 0.5).alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    out = explain.agnostic_shap(lambda d: d.withColumn("prediction", F.expr("2D * a - 3D * b + 1")), df, ["a", "b"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "walk" in line]
+    table = df.toPandas()
+    first = table.nsmallest(explain.BACKGROUND_ROWS, "row_id")
+    want = {(int(r.row_id), c): w * (getattr(r, c) - first[c].mean()) for r in table.itertuples() for c, w in (("a", 2), ("b", -3))}
+    got = {(r["row_id"], r["feature"]): r["phi"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_split_finds_its_thresholds_once(spark):
+    df = spark.range(500).select("id", (F.col("id") % 3).cast("string").alias("c"))
+    for labelled in (split.train_test_split(df, "id", "c"), split.assign_folds(df, "id", "c", 4)):
+        plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Window" not in plan
+
+
+def test_baselines_share_the_encoders_of_the_folds(spark, monkeypatch):
+    df = spark.range(120).select("id", (F.col("id") % 11).cast("double").alias("x"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("t"),
+                                 (F.col("id") % 11 * 2 + F.col("id") % 3).cast("double").alias("y"))
+    fitted, fit = [], prep.FeatureEncoder._fit
+    monkeypatch.setattr(prep.FeatureEncoder, "_fit", lambda self, d: fitted.append(1) or fit(self, d))
+    found = models.train_baselines(df, "y", "regression", "id", models.Settings(folds=3, trees=2, depth=2))
+    assert {r["model"] for r in found.metrics.where("metric = 'cv_mean'").collect()} == {"Linear Regression", "Random Forest Regressor"}
+    assert len(fitted) == 4  # the training rows and three folds, once for both models

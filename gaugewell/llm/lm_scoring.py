@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores from the counts of the corpus itself.
 
 Documents are dealt to blocks by hash. A block explodes its texts into n-grams of 1 to `order` words, counts its distinct ones and
-sends them, packed, to count tables that are partitioned by n-gram hash. A partition sums the counts of all blocks and joins them back
+sends them, as compressed steps between sorted hashes, to count tables that are partitioned by n-gram hash. A partition sums the counts of all blocks and joins them back
 to each block's n-grams. The block then scores every word of its documents and sums per document. A document's own n-grams are
 taken out of the counts it is scored by, so a text is not likely merely because it is in the corpus.
 """
@@ -14,6 +14,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +41,25 @@ def _grams(texts: pd.Series, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _squeeze(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers below 256**width: their lowest bytes, then the next ones and so on, compressed."""
+    return zstandard.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+
+
+def _expand(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
 def _pack(hashes: np.ndarray) -> bytes:
-    """The KEPT_BITS highest bits of each hash; the partition number is taken from the lowest."""
-    return (hashes >> np.uint64(64 - KEPT_BITS)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BITS // 8].tobytes()
+    """The KEPT_BITS highest bits of each of the ascending hashes, as steps; the partition number is taken from the lowest."""
+    return _squeeze(np.diff(hashes >> np.uint64(64 - KEPT_BITS), prepend=np.uint64(0)), KEPT_BITS // 8)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // (KEPT_BITS // 8), 8), np.uint8)
-    out[:, :KEPT_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BITS // 8)
-    return out.view("<u8").ravel()
+    return np.cumsum(_expand(data, KEPT_BITS // 8), dtype=np.uint64)
 
 
 def _split(hashes: np.ndarray, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +76,7 @@ def _ask(pdf: pd.DataFrame, order: int, tables: int) -> pd.DataFrame:
     rows = []
     for n, (hashes, _) in enumerate(_grams(pdf["text"], order), 1):
         distinct, _, counts, begins = _split(hashes, tables)
-        rows += [(n, t, int(pdf["block"].iloc[0]), _pack(distinct[a:b]), counts[a:b].astype("<u4").tobytes())
+        rows += [(n, t, int(pdf["block"].iloc[0]), _pack(distinct[a:b]), _squeeze(counts[a:b], 4))
                  for t, (a, b) in enumerate(zip(begins[:-1], begins[1:])) if b > a]
     return pd.DataFrame(rows, columns=["n", "part", "block", "grams", "counts"])
 
@@ -73,18 +84,18 @@ def _ask(pdf: pd.DataFrame, order: int, tables: int) -> pd.DataFrame:
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """One partition of the count table of an order, joined back to the n-grams of each block."""
     grams = [_unpack(g) for g in pdf["grams"]]
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in pdf["counts"]])
+    counts = np.concatenate([_expand(c, 4) for c in pdf["counts"]])
     _, number = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(number, counts).astype(np.int64)[number]
     ends = np.cumsum([len(g) for g in grams])
     # totals of the corpus fit 32 bits unless an n-gram occurs four thousand million times
-    kind = "<u4" if total.max() < 1 << 32 else "<u8"
-    return pd.DataFrame({"n": pdf["n"], "part": pdf["part"], "block": pdf["block"], "totals": [t.astype(kind).tobytes() for t in np.split(total, ends[:-1])],
-                         "wide": kind == "<u8"})
+    wide = bool(total.max() >= 1 << 32)
+    return pd.DataFrame({"n": pdf["n"], "part": pdf["part"], "block": pdf["block"], "totals": [_squeeze(t, 8 if wide else 4) for t in np.split(total, ends[:-1])],
+                         "wide": wide})
 
 
 def _score(docs: pd.DataFrame, answers: pd.DataFrame, order: int, tables: int, words: int, discount: float) -> pd.DataFrame:
-    found = {(n, p): np.frombuffer(t, "<u8" if w else "<u4").astype(np.int64) for n, p, t, w in zip(answers["n"], answers["part"], answers["totals"], answers["wide"])}
+    found = {(n, p): _expand(t, 8 if w else 4).view(np.int64) for n, p, t, w in zip(answers["n"], answers["part"], answers["totals"], answers["wide"])}
     all_counts, all_begins = [], []
     for n, (hashes, begins) in enumerate(_grams(docs["text"], order), 1):
         distinct, number, _, table_begins = _split(hashes, tables)

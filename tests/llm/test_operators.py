@@ -385,3 +385,12 @@ def test_sum_product_against_enumeration():
         children = [i for i in range(n) if parent[i] >= 0]
         for i, found in zip(children, pair):
             assert np.allclose(found, [[sum(w for y, w in weights.items() if (y[parent[i]], y[i]) == (a, b)) / total for b in (0, 1)] for a in (0, 1)])
+
+
+def test_ngrams_travel_as_compressed_steps():
+    hashes = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2))
+    packed = lm_scoring._pack(hashes)
+    assert np.array_equal(lm_scoring._unpack(packed), hashes >> np.uint64(64 - lm_scoring.KEPT_BITS)) and len(packed) < 4 * len(hashes)
+    totals = np.array([1, 1, 2, 70_000, 1 << 40], np.int64)
+    assert np.array_equal(lm_scoring._expand(lm_scoring._squeeze(totals, 8), 8), totals)
+    assert len(lm_scoring._squeeze(np.tile(totals[:3], 10_000), 4)) < 1_000

@@ -69,3 +69,19 @@ def test_baselines_share_the_encoders_of_the_folds(spark, monkeypatch):
     found = models.train_baselines(df, "y", "regression", "id", models.Settings(folds=3, trees=2, depth=2))
     assert {r["model"] for r in found.metrics.where("metric = 'cv_mean'").collect()} == {"Linear Regression", "Random Forest Regressor"}
     assert len(fitted) == 4  # the training rows and three folds, once for both models
+
+
+def test_copies_of_one_key_are_not_sorted_in_one_task(spark, monkeypatch):
+    df = spark.range(6000).select((F.col("id") % 2).alias("k"), (F.col("id") % 1500).alias("v"))
+    monkeypatch.setattr(split, "SORTED_ROWS", 10 ** 9)
+    want = split.train_test_split(df, "k", seed=3).where("is_test").groupBy("k", "v").count().collect()
+    keys = split._keyed(df, "k", 3, None).select("__h").toPandas()["__h"].sort_values()
+    monkeypatch.setattr(split, "SORTED_ROWS", 50)
+    sizes, edges = [], split._edges
+    monkeypatch.setattr(split, "_edges", lambda *a: sizes.append(edges(*a)) or sizes[-1])
+    got = split.train_test_split(df, "k", seed=3).where("is_test").groupBy("k", "v").count().collect()
+    assert sorted(got) == sorted(want) and sum(r["count"] for r in got) == 1200
+    assert sizes[0].first()["cnt"] == 3000 and sizes[-1].first()["cnt"] <= 50
+    ranks = spark.createDataFrame([("all", p, r) for p, r in enumerate((1, 2999, 3000, 3001, 6000), 1)], "__s string, part int, rank long")
+    cuts = split._thresholds(split._keyed(df, "k", 3, None), ranks, 6000, 5).first()["cuts"]
+    assert cuts == [keys.iloc[r - 1] for r in (1, 2999, 3000, 3001, 6000)]

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

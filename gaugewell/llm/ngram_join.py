@@ -36,6 +36,7 @@ from gaugewell.llm.hashing import documents_words, mix, shingles
 from gaugewell.llm.shared import bounded_batches, components, cut, release, small, stored
 
 BLOCK_SHINGLES, BLOCK_SETS, LEAF, FANOUT, FRONTIER = 400_000, 2_000, 8, 8, 16_384
+COMPARED_BYTES = 4 << 20  # of bitmaps that are combined at once
 _QUARTER = np.uint64(1 << 62)
 
 
@@ -104,6 +105,14 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def _common_bits(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that rows a of x and b of y have in common; wide bitmaps are combined a few pairs at a time."""
+    out, step = np.empty(len(a), np.int64), max(1, COMPARED_BYTES // (8 * x.shape[1]))
+    for i in range(0, len(a), step):
+        out[i:i + step] = np.bitwise_count(x[a[i:i + step]] & y[b[i:i + step]]).sum(1, dtype=np.int64)
+    return out
+
+
 def _overlaps(x: Tree, y: Tree) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function that gives the exact number of common shingles for pairs (set of x, set of y), sorted by the first."""
     n_x, n_y = x.levels[0][1], y.levels[0][1]
@@ -149,7 +158,7 @@ def dual_traversal(x: Tree, y: Tree | None, num: int, den: int, counts: tuple[np
         if y is None and i == j:
             fits &= a <= b if i else a < b
         a, b = a[fits], b[fits]
-        most = np.bitwise_count(bits_x[a] & bits_y[b]).sum(1, dtype=np.int64) + np.minimum(hid_x[a], hid_y[b])
+        most = _common_bits(bits_x, bits_y, a, b) + np.minimum(hid_x[a], hid_y[b])
         most = np.minimum(most, np.minimum(high_x[a], high_y[b]))
         fits = (num + den) * most >= num * (low_x[a] + low_y[b])
         a, b = a[fits], b[fits]

@@ -394,3 +394,13 @@ def test_ngrams_travel_as_compressed_steps():
     totals = np.array([1, 1, 2, 70_000, 1 << 40], np.int64)
     assert np.array_equal(lm_scoring._expand(lm_scoring._squeeze(totals, 8), 8), totals)
     assert len(lm_scoring._squeeze(np.tile(totals[:3], 10_000), 4)) < 1_000
+
+
+def test_wide_signatures_are_compared_a_few_at_a_time(monkeypatch):
+    bits = np.random.default_rng(2).integers(0, 1 << 63, (50, 512), dtype=np.uint64)
+    a, b = np.repeat(np.arange(50), 50), np.tile(np.arange(50), 50)
+    seen, count = [], np.bitwise_count
+    want = count(bits[a] & bits[b]).sum(1, dtype=np.int64)
+    monkeypatch.setattr(ngram_join, "COMPARED_BYTES", 1 << 16)
+    monkeypatch.setattr(ngram_join.np, "bitwise_count", lambda x: seen.append(x.nbytes) or count(x))
+    assert np.array_equal(ngram_join._common_bits(bits, bits, a, b), want) and max(seen) <= 1 << 16

@@ -85,3 +85,17 @@ def test_copies_of_one_key_are_not_sorted_in_one_task(spark, monkeypatch):
     ranks = spark.createDataFrame([("all", p, r) for p, r in enumerate((1, 2999, 3000, 3001, 6000), 1)], "__s string, part int, rank long")
     cuts = split._thresholds(split._keyed(df, "k", 3, None), ranks, 6000, 5).first()["cuts"]
     assert cuts == [keys.iloc[r - 1] for r in (1, 2999, 3000, 3001, 6000)]
+
+
+def test_facts_of_texts_are_read_off_distinct_texts(spark, monkeypatch):
+    long_day, long_true = " " * 20 + "2024-03-01" + " " * 20, " " * 30 + "yes" + " " * 30
+    rows = [("true", "1", long_day, None, long_true), ("true", "x", "2023-01-05", None, "no"), ("false", "2.5", " ", None, "y" * 40), (None, "2024-01-01", long_day, None, "y" * 40)] * 3
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string").withColumn("f", F.col("a") == "true")
+    infos, want = facts.columns_of(df), {"numeric", "labels", "dates", "classes"}
+    n_rows, scanned = stats.scan(df, want, infos)
+    monkeypatch.setattr(stats, "reduce_cells", lambda *a, **k: 1 / 0)
+    found = facts.gather(df, None, want | {"frequency"})
+    assert found.n_rows == n_rows == 12
+    for name, entry in scanned.items():
+        assert {k: found[name].get(k) for k in entry} == entry
+    assert [found[c]["n_distinct"] for c in "abcdef"] == [2, 4, 3, 0, 3, 2] and found["c"]["dominant_value"] == long_day

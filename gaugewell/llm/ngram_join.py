@@ -359,9 +359,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = stored(members.mapInArrow(_binary, "family long, id long, n long, copies long, tokens binary"))
     release(nodes)
     found = _links(members, num, den, links)
-    roots = components(found.select("a", "b")).select("node", F.col("component").alias("root")).join(classes.select("node", "first"), "node")
-    least = roots.groupBy("root").agg(F.min("first").alias("found"))
-    roots = classes.join(roots.drop("first").join(least, "root").select("node", "found"), "node", "left")
+    # settled in a table of its own, else the last job holds many small joins at once
+    linked = components(found.select("a", "b")).select("node", F.col("component").alias("root"))
+    linked = cut(linked.join(classes.select("node", "first"), "node"))
+    least = linked.groupBy("root").agg(F.min("first").alias("found"))
+    roots = classes.join(linked.drop("first").join(least, "root").select("node", "found"), "node", "left")
     roots = roots.join(found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others")), "node", "left")
     roots = roots.select("h1", "h2", F.coalesce("found", "first").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = sets.select("id", "n", "h1", "h2").join(roots, ["h1", "h2"], "left")
